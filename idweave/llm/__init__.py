@@ -10,15 +10,6 @@ from importlib import import_module
 
 #: query name -> (module, function)
 QUERIES = {
-    "op1_language_id": ("language_id", "query"),
-    "op2_suffix_dedup": ("suffix_dedup", "query"),
-    "op3_bpe_codec": ("bpe_codec", "query"),
-    "op4_quality_classifier": ("quality_classifier", "query"),
-    "op5_html_extraction": ("html_extraction", "query"),
-    "op6_fingerprints": ("fingerprints", "query"),
-    "op7_best_fit_packing": ("packing", "query"),
-    "op8_ngram_jaccard_join": ("jaccard_join", "query"),
-    "op9_quality_rules": ("quality_rules", "query"),
     "op10_url_filters": ("url_filters", "query"),
 }
 
