@@ -16,6 +16,7 @@ QUERIES = {
     "op4_quality_classifier": ("quality_classifier", "query"),
     "op5_html_extraction": ("html_extraction", "query"),
     "op7_best_fit_packing": ("packing", "query"),
+    "op8_jaccard_join": ("jaccard_join", "query"),
     "op9_quality_rules": ("quality_rules", "query"),
     "op10_url_filters": ("url_filters", "query"),
 }
