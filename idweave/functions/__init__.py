@@ -1 +1 @@
-
+"""Column and SQL functions over identifiers."""

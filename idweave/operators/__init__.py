@@ -1 +1 @@
-
+"""Extraction, search, lint and graph operators over DataFrames."""
