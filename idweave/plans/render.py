@@ -47,7 +47,7 @@ def parsed_json(identifiers):
 
 def parse_text(row) -> str:
     """The listing of one parsed name."""
-    out = [f"name:       {row['original']}", f"convention: {row['convention']}", f"tags:       [{', '.join(row['tags'])}]"]
+    out = [f"name:       {row['identifier']}", f"convention: {row['convention']}", f"tags:       [{', '.join(row['tags'])}]"]
     out += [f"dimension {i}: [{', '.join(d)}]" for i, d in enumerate(row["namespaces"])]
     out += [f"{k}:{' ' * (11 - len(k))}{row[k]}" for k in ("role", "shape") if row[k] is not None]
     return "\n".join([*out, f"canonical:  {'_'.join(row['tags'])}"])
