@@ -9,13 +9,15 @@ from .search import query_tags
 
 def tag_nodes(identifiers):
     """Every distinct tag, also of names of one tag."""
-    return identifiers.select(F.explode("tags").alias("tag")).distinct()
+    # not a bare column: for that Spark would add a filter that repeats the parse
+    return identifiers.select(F.explode(F.expr("IF(size(tags) > 0, tags, NULL)")).alias("tag")).distinct()
 
 
 def tag_edges(identifiers):
     """(src, dst, weight): occurrences of neighbouring tags; each repetition counts, loops are edges."""
-    pairs = F.expr("transform(sequence(1, size(tags) - 1), i -> struct(tags[i - 1] AS src, tags[i] AS dst))")
-    found = identifiers.filter(F.size("tags") >= 2).select(F.explode(pairs).alias("e"))
+    # the size is tested inside the generator: a filter would be pushed below the parse and repeat it
+    pairs = F.expr("IF(size(tags) < 2, NULL, transform(sequence(1, size(tags) - 1), i -> struct(tags[i - 1] AS src, tags[i] AS dst)))")
+    found = identifiers.select(F.explode(pairs).alias("e"))
     return found.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
