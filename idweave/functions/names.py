@@ -76,10 +76,9 @@ def convention(n: str) -> str:
 
 def tags(n: str, conv: str) -> str:
     """SQL: the name's lower-case words in order."""
-    return (
-        f"CASE WHEN {conv} = 'kebab-case' THEN filter(split(lower({n}), '-'), t -> t <> '')"
-        f" ELSE filter(split(lower(regexp_replace({n}, r'{WORD_START}', '_')), '_'), t -> t <> '') END"
-    )
+    # most names have no capital after their first letter: nothing to look for in them
+    cut = f"IF(substring({n}, 2) = lower(substring({n}, 2)), lower({n}), lower(regexp_replace({n}, r'{WORD_START}', '_')))"
+    return f"CASE WHEN {conv} = 'kebab-case' THEN filter(split(lower({n}), '-'), t -> t <> '') ELSE filter(split({cut}, '_'), t -> t <> '') END"
 
 
 def namespaces(n: str, conv: str) -> str:

@@ -22,7 +22,7 @@ KEYWORDS = (
 MAX_FILE_SIZE = 1_048_576
 
 #: Pieces of a line whose lengths are added up together.
-BLOCK = 64
+BLOCK = 16
 
 PLAIN = r"(?U)\b[a-zA-Z_$][a-zA-Z0-9_$]*\b"
 KEBAB = r"(?U)\b[a-zA-Z_$][a-zA-Z0-9_$-]*\b"
@@ -35,11 +35,16 @@ def lines(files, content_col: str = "content"):
     return rows.select(*[c for c in files.columns if c != content_col], F.posexplode(pieces).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def occurrences(rows, kebab=None):
+def occurrences(rows, kebab=None, places=True):
     """A row for each identifier match of lines: identifier and its byte column; no filters yet.
 
-    ``kebab`` is a boolean column that chooses the pattern with hyphens.
+    ``kebab`` is a boolean column that chooses the pattern with hyphens.  Without ``places`` the
+    column, most of the work, is left out.
     """
+    if not places:
+        every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        found = every(PLAIN) if kebab is None else F.when(kebab, every(KEBAB)).otherwise(every(PLAIN))
+        return rows.select(*[c for c in rows.columns if c != "text"], F.explode(found).alias("identifier"))
     cut = lambda pattern: F.split(F.regexp_replace("text", pattern, "\u0001$0\u0002"), "[\u0001\u0002]")
     if kebab is None:
         pieces = cut(PLAIN)
@@ -64,16 +69,19 @@ def is_identifier(c: str = "identifier"):
     return (F.octet_length(c) > 1) & ~F.col(c).isin(*KEYWORDS)
 
 
-def extract_identifiers(files, path_col: str = "path"):
-    """The occurrence table of text mode: file, line, column, identifier and the parsed fields; context is null."""
+def extract_identifiers(files, path_col: str = "path", places: bool = True):
+    """The occurrence table of text mode: file, line, column, identifier and the parsed fields; context is null.
+
+    Without ``places`` there is no column.
+    """
     files = files.filter(F.col("size") <= MAX_FILE_SIZE)
     src = files.select(F.col(path_col).alias("file"), "ext", "content")
-    found = occurrences(lines(src), F.col("ext").isin(*KEBAB_EXTENSIONS)).filter(is_identifier())
+    found = occurrences(lines(src), F.col("ext").isin(*KEBAB_EXTENSIONS), places).filter(is_identifier())
     found = names.parse(found.drop("ext"))
     return found.withColumns({"context": F.lit(None).cast("string"), "language": F.lit(None).cast("string")})
 
 
 def identifier_counts(files):
     """Occurrences of each identifier and of its canonical key: partial sums before the shuffle."""
-    found = extract_identifiers(files)
+    found = extract_identifiers(files, places=False)
     return found.groupBy("identifier", F.expr(names.canonical("tags")).alias("canonical")).agg(F.count(F.lit(1)).alias("n"))

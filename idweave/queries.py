@@ -19,8 +19,8 @@ def _key(df, *columns):
     return df.select("file", "line", "identifier", *columns)
 
 
-def _extracted(spark, sf_dir):
-    return extract.extract_identifiers(derived.document_files(spark, sf_dir))
+def _extracted(spark, sf_dir, places=True):
+    return extract.extract_identifiers(derived.document_files(spark, sf_dir), places=places)
 
 
 #: Rules of the lint queries: a language's own, with two contexts replaced by the project's.
@@ -108,7 +108,7 @@ def extract_lines(spark, sf_dir):
 
 
 def extract_identifiers(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("file", "line", "identifier", "convention", F.array_join("tags", " ").alias("tags"))
+    return _extracted(spark, sf_dir, places=False).select("file", "line", "identifier", "convention", F.array_join("tags", " ").alias("tags"))
 
 
 def extract_columns(spark, sf_dir):
@@ -116,12 +116,12 @@ def extract_columns(spark, sf_dir):
 
 
 def extract_kebab(spark, sf_dir):
-    return extract.extract_identifiers(derived.page_files(spark, sf_dir)).select("file", "line", "identifier", F.array_join("tags", " ").alias("tags"))
+    return extract.extract_identifiers(derived.page_files(spark, sf_dir), places=False).select("file", "line", "identifier", F.array_join("tags", " ").alias("tags"))
 
 
 def keyword_filter(spark, sf_dir):
     """Occurrences that are dropped, by word."""
-    found = extract.occurrences(extract.lines(derived.document_files(spark, sf_dir)).drop("ext", "size"))
+    found = extract.occurrences(extract.lines(derived.document_files(spark, sf_dir)).drop("ext", "size"), places=False)
     return found.filter(~extract.is_identifier()).groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +169,7 @@ def graph_subgraph_edges(spark, sf_dir):
 
 
 def graph_kebab_pages(spark, sf_dir):
-    return graph.tag_edges(extract.extract_identifiers(derived.page_files(spark, sf_dir)))
+    return graph.tag_edges(extract.extract_identifiers(derived.page_files(spark, sf_dir), places=False))
 
 
 def lint_violations(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .files import as_files
+from .files import as_files, spread
 
 
 def table(spark, sf_dir, name):
@@ -49,12 +49,12 @@ def names_table(spark, sf_dir):
 
 def document_files(spark, sf_dir, ext="txt"):
     """Documents in the shape of files."""
-    return as_files(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), ext)
+    return as_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"), ext)
 
 
 def page_files(spark, sf_dir, ext="css"):
     """Pages in the shape of files whose identifiers may hold hyphens."""
-    return as_files(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("html"), ext)
+    return as_files(spread(table(spark, sf_dir, "pages").select("page_id", "html")), F.col("page_id"), F.col("html"), ext)
 
 
 #: Folder and extension of each part's path, by remainders of its key.

@@ -127,6 +127,12 @@ def prune(files, path_col: str = "path"):
     return files.filter(~skipped & ext_of(F.col(path_col)).isin(*SOURCE_EXTENSIONS))
 
 
+def spread(df):
+    """``df`` dealt over all cores where its files make fewer partitions than that, as a single small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_files(rows, path, content, ext="txt"):
     """A table's text column in the shape of files: each row is one."""
     return rows.select(path.cast("string").alias("path"), F.lit(ext).alias("ext"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
