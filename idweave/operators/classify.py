@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..sources.files import language_of
-from .extract import extract_identifiers
+from .extract import MAX_FILE_SIZE, extract_identifiers
 
 _ID = r"[A-Za-z_]\w*"
 _N = rf"(?P<n>{_ID})"
@@ -197,7 +197,7 @@ def classify(files, path_col: str = "path"):
     return found.select("file", "line", "column", "identifier", "convention", "tags", "namespaces", "role", "shape", "context", "language")
 
 
-def extract_with_context(files, path_col: str = "path"):
-    """Syntax mode where the language is known, text mode (context null) elsewhere."""
+def extract_with_context(files, path_col: str = "path", max_size: int | None = MAX_FILE_SIZE):
+    """Syntax mode where the language is known, text mode (context null) elsewhere; ``max_size`` is the text mode's."""
     other = files.filter(language_of(F.col("ext")).isNull())
-    return classify(files, path_col).unionByName(extract_identifiers(other, path_col))
+    return classify(files, path_col).unionByName(extract_identifiers(other, path_col, max_size=max_size))

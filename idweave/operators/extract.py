@@ -18,11 +18,11 @@ KEYWORDS = (
     "import", "from", "let", "const", "var", "pub", "self", "this", "true", "false", "null", "none", "nil",
 )
 
-#: Larger files yield nothing in text mode (fixed value).
+#: Larger files of a source tree yield nothing in text mode (fixed value); texts of tables have no limit.
 MAX_FILE_SIZE = 1_048_576
 
-#: Pieces of a line whose lengths are added up together.
-BLOCK = 16
+#: Pieces of a line whose lengths are added up together, and blocks of them whose sums are.
+BLOCK, GROUP = 16, 256
 
 PLAIN = r"(?U)\b[a-zA-Z_$][a-zA-Z0-9_$]*\b"
 KEBAB = r"(?U)\b[a-zA-Z_$][a-zA-Z0-9_$-]*\b"
@@ -53,14 +53,18 @@ def occurrences(rows, kebab=None, places=True):
     kept = [c for c in rows.columns if c != "text"]
     # a line that holds a mark character itself would shift the pieces
     rows = rows.withColumn("text", F.translate("text", "\u0001\u0002", "  ")).withColumn("__p", pieces)
-    # byte offsets: sums over blocks of pieces, then within a block, so that long lines stay cheap
+    # byte offsets: sums over groups of blocks of pieces, over blocks, then within a block, so that long lines stay cheap
     let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     size_of = lambda part: f"aggregate({part}, 0, (s, x) -> s + octet_length(x))"
     blocks = f"transform(sequence(0, CAST((size(__p) - 1) div {BLOCK} AS INT)), c -> {size_of(f'slice(__p, c * {BLOCK} + 1, {BLOCK})')})"
-    before = "aggregate(b, named_struct('at', 0, 'out', CAST(array() AS ARRAY<INT>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    before = lambda sums, at: f"aggregate({sums}, named_struct('at', {at}, 'out', CAST(array() AS ARRAY<INT>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    own = f"slice(b, c * {GROUP} + 1, {GROUP})"
+    every = f"sequence(0, CAST((size(b) - 1) div {GROUP} AS INT))"
+    groups = f"transform({every}, c -> aggregate({own}, 0, (s, x) -> s + x))"
+    offsets = let("g", before(groups, "0"), f"flatten(transform({every}, c -> {before(own, 'g[c]')}))")
     here = f"CAST(i div {BLOCK} AS INT)"
     each = f"transform(sequence(1, size(__p) - 1, 2), i -> named_struct('identifier', __p[i], 'column', 1 + o[{here}] + {size_of(f'slice(__p, {here} * {BLOCK} + 1, i % {BLOCK})')}))"
-    found = F.expr(f"IF(size(__p) < 2, NULL, {let('b', blocks, let('o', before, each))})")
+    found = F.expr(f"IF(size(__p) < 2, NULL, {let('b', blocks, let('o', offsets, each))})")
     return rows.select(*kept, F.explode(found).alias("__o")).select(*kept, F.col("__o.identifier").alias("identifier"), F.col("__o.column").alias("column"))
 
 
@@ -69,19 +73,20 @@ def is_identifier(c: str = "identifier"):
     return (F.octet_length(c) > 1) & ~F.col(c).isin(*KEYWORDS)
 
 
-def extract_identifiers(files, path_col: str = "path", places: bool = True):
+def extract_identifiers(files, path_col: str = "path", places: bool = True, max_size: int | None = MAX_FILE_SIZE):
     """The occurrence table of text mode: file, line, column, identifier and the parsed fields; context is null.
 
-    Without ``places`` there is no column.
+    Without ``places`` there is no column.  ``max_size`` is for the files of a tree; None takes texts of any size.
     """
-    files = files.filter(F.col("size") <= MAX_FILE_SIZE)
+    if max_size is not None:
+        files = files.filter(F.col("size") <= max_size)
     src = files.select(F.col(path_col).alias("file"), "ext", "content")
     found = occurrences(lines(src), F.col("ext").isin(*KEBAB_EXTENSIONS), places).filter(is_identifier())
     found = names.parse(found.drop("ext"))
     return found.withColumns({"context": F.lit(None).cast("string"), "language": F.lit(None).cast("string")})
 
 
-def identifier_counts(files):
+def identifier_counts(files, max_size: int | None = MAX_FILE_SIZE):
     """Occurrences of each identifier and of its canonical key: partial sums before the shuffle."""
-    found = extract_identifiers(files, places=False)
+    found = extract_identifiers(files, places=False, max_size=max_size)
     return found.groupBy("identifier", F.expr(names.canonical("tags")).alias("canonical")).agg(F.count(F.lit(1)).alias("n"))

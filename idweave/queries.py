@@ -20,7 +20,11 @@ def _key(df, *columns):
 
 
 def _extracted(spark, sf_dir, places=True):
-    return extract.extract_identifiers(derived.document_files(spark, sf_dir), places=places)
+    return extract.extract_identifiers(derived.document_files(spark, sf_dir), places=places, max_size=None)
+
+
+def _kebab(spark, sf_dir):
+    return extract.extract_identifiers(derived.page_files(spark, sf_dir), places=False, max_size=None)
 
 
 #: Rules of the lint queries: a language's own, with two contexts replaced by the project's.
@@ -116,7 +120,7 @@ def extract_columns(spark, sf_dir):
 
 
 def extract_kebab(spark, sf_dir):
-    return extract.extract_identifiers(derived.page_files(spark, sf_dir), places=False).select("file", "line", "identifier", F.array_join("tags", " ").alias("tags"))
+    return _kebab(spark, sf_dir).select("file", "line", "identifier", F.array_join("tags", " ").alias("tags"))
 
 
 def keyword_filter(spark, sf_dir):
@@ -126,7 +130,7 @@ def keyword_filter(spark, sf_dir):
 
 
 def identifier_counts(spark, sf_dir):
-    return extract.identifier_counts(derived.document_files(spark, sf_dir))
+    return extract.identifier_counts(derived.document_files(spark, sf_dir), max_size=None)
 
 
 def _search(query):
@@ -169,7 +173,7 @@ def graph_subgraph_edges(spark, sf_dir):
 
 
 def graph_kebab_pages(spark, sf_dir):
-    return graph.tag_edges(extract.extract_identifiers(derived.page_files(spark, sf_dir), places=False))
+    return graph.tag_edges(_kebab(spark, sf_dir))
 
 
 def lint_violations(spark, sf_dir):
@@ -206,12 +210,12 @@ def classify_contexts(spark, sf_dir):
 
 
 def extract_with_context(spark, sf_dir):
-    return classify.extract_with_context(derived.source_files(spark, sf_dir)).select("file", "line", "column", "identifier", "context", "convention")
+    return classify.extract_with_context(derived.source_files(spark, sf_dir), max_size=None).select("file", "line", "column", "identifier", "context", "convention")
 
 
 def lint_sources(spark, sf_dir):
     """Rules against the contexts of source files."""
-    return lint.lint(classify.extract_with_context(derived.source_files(spark, sf_dir)), _rules(spark))
+    return lint.lint(classify.extract_with_context(derived.source_files(spark, sf_dir), max_size=None), _rules(spark))
 
 
 def extract_text_lines(spark, sf_dir):
