@@ -131,6 +131,19 @@ def test_one_of_each_class_stays(make, near):
     assert jaccard_join.keep_representatives(docs.limit(0)).count() == 0
 
 
+def test_equal_ids_on_different_texts(make):
+    r = random.Random(12)
+    a, b, c, d = (" ".join(f"{k}{r.randrange(900)}" for _ in range(80)) for k in "abcd")
+    # id 5 stands on a and b, whose copies differ in number; id 2 on a near copy of b; id 9 twice on c, which has a near copy
+    texts = [a, b, a, a, b + " more", c, c, "also " + c, "", d]
+    ids = [5, 5, 6, 7, 2, 9, 9, 10, 5, 11]
+    docs = make(texts, ids=ids)
+    found = collections.Counter((x.doc_id, x.class_id, x.n_links) for x in jaccard_join.jaccard_classes(docs).collect())
+    assert found == collections.Counter([(5, 5, 2), (5, 2, 1), (6, 5, 2), (7, 5, 2), (2, 2, 1), (9, 9, 2), (9, 9, 2), (10, 9, 2), (5, 5, 0), (11, 11, 0)])
+    kept = sorted((x.doc_id, x.text) for x in jaccard_join.keep_representatives(docs).collect())
+    assert kept == sorted([(5, a), (2, b + " more"), (9, c), (5, ""), (11, d)])
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_for()
     assert bands * rows <= jaccard_join.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard_join.RECALL
