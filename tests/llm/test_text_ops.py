@@ -59,6 +59,10 @@ def test_language_accuracy_and_edges(spark, make, edges):
     assert {r.lang_pred for r in language_id.detect_language(make(edges), unlabelled).collect()} == {"und"}
 
 
+def test_training_is_not_cut_short():
+    assert language_id.train.__defaults__[0] == language_id.EPOCHS == 8
+
+
 def test_windows_cover_every_byte():
     data, offsets, _ = common.utf8_view(pa.array(["x" * 5, "", "y" * 500, "z" * language_id.WINDOW]))
     windows, row, used = language_id.cut_windows(data, offsets)
