@@ -295,6 +295,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert packed.filter("n <> octet_length(text)").count() == 0
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(make):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7))) for _ in range(n))
+    passage, short = prose(51), prose(25)
+    assert corpus_pipeline.REPEAT <= len(passage) < suffix_dedup.THRESHOLD
+    docs = make([f"{prose(60)} {passage} {prose(60)} {short} {prose(9)}" for _ in range(2)] + [prose(200)])
+    out = {x.doc_id: x.text for x in corpus_pipeline.cut_repeats(None, docs, None).collect()}
+    before = {x.doc_id: x.text for x in docs.collect()}
+    assert all(passage not in out[k] and short in out[k] and len(before[k]) - len(passage) - 2 <= len(out[k]) <= len(before[k]) - len(passage) for k in (0, 1))
+    assert out[2] == before[2]
+
+
 def test_pipeline_on_edges(spark, make, edges, tmp_path):
     import corpus_pipeline
 
