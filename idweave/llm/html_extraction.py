@@ -3,7 +3,9 @@
 A page is read into a tree of elements.  Every paragraph-like block passes points for its
 length and commas to its ancestors, halved at each step up, and each element's points are
 discounted by its link density.  The best element and those of its siblings that score well,
-or are prose themselves, are the article; boilerplate elements inside are left out.
+or are prose themselves, are the article; boilerplate elements inside are left out.  What looks
+like boilerplate but holds the page's only article element, or most of the prose of a page without
+one, is a wrapper and stays.
 
 Defined results: a null or empty page, or one without prose, has an empty text.  Pages are
 read one by one; repeated rows repeat and an empty table gives none.  Ties in points go to the
@@ -45,18 +47,36 @@ _BAD_NAME = re.compile(
     r"navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: long threads outweigh their article: these are wrappers only around a single one
+_THREAD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "bad", "points", "n", "linked", "commas", "depth", "order")
+    __slots__ = ("tag", "up", "kids", "bad", "unseen", "thread", "points", "n", "linked", "commas", "depth", "order")
 
     def __init__(self, tag, up, bad, order):
         self.tag, self.up, self.bad, self.order = tag, up, bad, order
+        self.unseen = self.thread = False
         self.kids, self.points, self.n, self.linked, self.commas = [], 0.0, 0, 0, 0
         self.depth = up.depth + 1 if up else 0
 
 
+def _is_unseen(tag, attrs):
+    """Whether a reader never sees the element as text."""
+    if tag in ("head", "select", "button", "menu"):
+        return True
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return True
+    return " hidden" in attrs.lower() and bool(re.search(r"\shidden(?:\s|=|/|$)", attrs, re.I))
+
+
+def _is_thread(attrs):
+    return any(name.lower() in ("class", "id") and _THREAD.search(a or b or c) for name, a, b, c in _ATTR.findall(attrs))
+
+
 def _is_bad(tag, attrs):
     if tag in _CHROME:
         return True
@@ -118,6 +138,8 @@ def parse(page):
         if closes:
             here = here.up
         node = Node(tag, here, _is_bad(tag, m["attrs"]), len(nodes))
+        if node.bad:
+            node.unseen, node.thread = _is_unseen(tag, m["attrs"]), _is_thread(m["attrs"])
         nodes.append(node)
         here.kids.append(node)
         if tag not in _VOID and not m["attrs"].endswith("/"):
@@ -125,6 +147,39 @@ def parse(page):
     return root, nodes
 
 
+def _clear_wrappers(nodes):
+    """Where no article element is in the open: take the mark from elements around one, or around most of the prose.
+
+    Prose is the text of paragraphs outside links and outside what is never seen.
+    """
+    if not any(node.bad and not node.unseen for node in nodes):
+        return
+    flags = []  # by order: (below a marked element, below an unseen one, below a link, in a paragraph)
+    prose, articles = [0] * len(nodes), [0] * len(nodes)
+    outside = False
+    for node in nodes:
+        bad, unseen, link, block = flags[node.up.order] if node.up is not None else (False, False, False, False)
+        bad, unseen, link = bad or node.bad, unseen or node.unseen, link or node.tag == "a"
+        block = node.tag in _PARAGRAPH or block and node.tag not in _BLOCK
+        flags.append((bad, unseen, link, block))
+        if block and not unseen and not link:
+            prose[node.order] = sum(len(kid.strip()) for kid in node.kids if isinstance(kid, str))
+        if node.tag in ("article", "main") and not unseen:
+            articles[node.order] = 1
+            outside = outside or not bad
+    if outside:  # a marked article in the open: what is marked elsewhere stays so, however long
+        return
+    for node in reversed(nodes):  # children come after their parents
+        if node.up is not None:
+            prose[node.up.order] += prose[node.order]
+            articles[node.up.order] += articles[node.order]
+    for node in nodes:
+        if node.bad and not node.unseen:
+            held = articles[node.order] > 0
+            most = prose[node.order] * 2 > prose[0]
+            node.bad = not (held and most and articles[node.order] <= 2 if node.thread else held or most)
+
+
 def _measure(nodes):
     """Characters and linked characters below each element, and the blocks' own points."""
     for node in reversed(nodes):
@@ -193,6 +248,7 @@ def main_text(page):
     if not page:
         return ""
     root, nodes = parse(page)
+    _clear_wrappers(nodes)
     for node in nodes:  # parents come first
         node.bad = node.bad or (node.up is not None and node.up.bad)
     _measure(nodes)

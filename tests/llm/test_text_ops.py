@@ -220,6 +220,24 @@ def test_html_main_text():
     ]
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', "div id=with-header", "div class=widget", "form action=x", "aside", 'div class="post comments-open"'])
+def test_html_in_a_wrapper(wrapper):
+    """A wrapper with a boilerplate mark around the article, alone or nested, hides nothing; marks inside still count."""
+    close = wrapper.split()[0]
+    body = "".join(f"<p>Sentence {i}, with commas, and words enough, to be taken for prose by any reader.</p>" for i in range(5))
+    inside = '<div class=ad><p>Buy now, cheap, cheap, and cheaper still, right here and now.</p></div>'
+    around = "<div class=sidebar><p>Related, things, to read, when you have time for it, as you may.</p></div>"
+    pages = [f"<body><{wrapper}><article>{body}{inside}</article></{close}>{around}</body>", f"<form><{wrapper}><main>{body}{inside}</main></{close}></form>{around}"]
+    if "comments" not in wrapper:
+        pages += [f"<body><{wrapper}>{body}{inside}</{close}>{around}</body>"]
+    for page in pages:
+        text = html_extraction.main_text(page)
+        assert text.count("Sentence") == 5 and "Buy" not in text and "Related" not in text
+    thread = "".join(f"<p>I disagree, strongly, with everything, that was said above, number {i}.</p>" for i in range(30))
+    text = html_extraction.main_text(f"<body><div>{body}</div><div class=comments>{thread}</div></body>")
+    assert text.count("Sentence") == 5 and "disagree" not in text
+
+
 def test_html_without_an_article_element():
     body = "".join(f"<p>Sentence {i}, with commas, and words enough, to be taken for prose by any reader.</p>" for i in range(5))
     page = f"<body><div class=menu><a href=x>one</a> <a href=y>two</a></div><div><div id=main>{body}</div><div><a href=z>{'link ' * 40}</a></div></div></body>"
