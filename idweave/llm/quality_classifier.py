@@ -82,12 +82,25 @@ def project(texts, weights, basis):
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit_vectors(texts, labels):
-    """Model arrays from a bounded list of texts with labels."""
-    column = pa.array(texts, pa.string())
-    rows = np.zeros((len(texts), _BUCKETS), np.float32)
-    for i, data, offsets in text_chunks(column, 1 << 19):
-        rows[i : i + len(offsets) - 1] = _dense(len(offsets) - 1, *term_counts(data, offsets), np.diff(offsets))
+def _counted(batches):
+    """(i, y, length, buckets, times) of each text (i, y, text): at most 4,096 buckets of 6 bytes, however long the text."""
+    for batch in batches:
+        out = [[], [], []]
+        for _, data, offsets in text_chunks(batch.column(2), 1 << 19):
+            row, bucket, times = term_counts(data, offsets)
+            for a, b in zip(*np.searchsorted(row, [np.arange(len(offsets) - 1), np.arange(1, len(offsets))])):
+                out[1].append(bucket[a:b].astype(np.int16).tobytes())
+                out[2].append(times[a:b].astype(np.int32).tobytes())
+            out[0] += np.diff(offsets).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["i", "y", "length", "buckets", "times"])
+
+
+def fit_vectors(counted, labels):
+    """Model arrays from a bounded list of term counts (length, buckets, times) with labels."""
+    rows = np.zeros((len(counted), _BUCKETS), np.float32)
+    for i, (length, buckets, times) in enumerate(counted):
+        bucket = np.frombuffer(buckets, np.int16).astype(np.int64)
+        rows[i] = _dense(1, np.zeros(len(bucket), np.int64), bucket, np.frombuffer(times, np.int32), np.array([length]))
     seen = (rows > 0).sum(0)
     weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32)
     weights[seen < 3] = 0
@@ -139,12 +152,14 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality", bou
     # 2 * bound rows of two numbers: the size of this side does not depend on the data
     ids = F.broadcast(spark.createDataFrame([(r.i, r.y) for r in picked], "i long, y int"))
 
-
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(ids, "i")
-    found = rows.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t")).orderBy("i").collect()
+    found = rows.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t")).select("i", "y", "t")
+    # texts are counted in tasks: what the driver collects is bounded in bytes too, at 2 * bound rows of 25 KB
+    found = found.mapInArrow(_counted, "i long, y int, length long, buckets binary, times binary").collect()
     if not found:
         return None
-    return packed(fit_vectors([r.t for r in found], [r.y for r in found]))
+    found.sort(key=lambda r: r.i)
+    return packed(fit_vectors([(r.length, r.buckets, r.times) for r in found], [r.y for r in found]))
 
 
 def score_quality(docs, model, id_col="doc_id", text_col="text"):

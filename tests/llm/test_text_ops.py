@@ -187,6 +187,24 @@ def test_quality_classifier(spark, make, edges):
     assert {r.score for r in quality_classifier.score_quality(make(edges), None).collect()} == {0.5}
 
 
+def test_sample_is_counted_in_tasks(spark, make, monkeypatch):
+    """Whole texts never reach the driver: what is collected for a text has a bound, whatever its length."""
+    long = " ".join(f"w{i * 7919 % 90_001}" for i in range(400_000))
+    texts = [None, "", "a few words", long]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array([0, 1, 0, 1], pa.int32()), pa.array(texts, pa.string())], names=["i", "y", "t"])
+    rows = pa.Table.from_batches(quality_classifier._counted([batch])).to_pylist()
+    assert [r["length"] for r in rows] == [0, 0, 11, len(long)]
+    assert all(len(r["buckets"]) <= 2 * 4096 and len(r["times"]) <= 4 * 4096 for r in rows) and len(long) > 2_000_000
+    data = np.frombuffer(long.encode(), np.uint8)
+    _, bucket, times = quality_classifier.term_counts(data, np.array([0, len(data)]))
+    assert np.frombuffer(rows[3]["buckets"], np.int16).tolist() == bucket.tolist() and np.frombuffer(rows[3]["times"], np.int32).tolist() == times.tolist()
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_vectors", lambda counted, labels: seen.extend(counted) or {"labels": np.array(labels)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality_classifier.fit(make([long] * 20), labels)
+    assert len(seen) > 5 and all(sum(map(len, r[1:])) <= 6 * 4096 for r in seen)
+
+
 def test_votes_against_brute_force():
     rng = np.random.default_rng(0)
     unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
