@@ -51,7 +51,47 @@ def test_repeats_against_brute_force(make, passages, monkeypatch, chunk, segment
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_report(make(passages)).collect()}
-    assert [rows[i] for i in range(len(passages))] == removed_by_hand(passages, suffix_dedup.THRESHOLD)
+    assert [rows[i] for i in range(len(passages))] == removed_by_hand(passages, suffix_dedup.BYTES.threshold)
+
+
+def passage_words_by_hand(texts, size):
+    rows = [re.findall("[^\x20\x09-\x0D]+", t or "") for t in texts]
+    times = collections.Counter(tuple(w[i : i + size]) for w in rows for i in range(len(w) - size + 1))
+    out = []
+    for w in rows:
+        mark = set()
+        for i in range(len(w) - size + 1):
+            if times[tuple(w[i : i + size])] > 1:
+                mark.update(range(i, i + size))
+        out.append(len(mark))
+    return out
+
+
+@pytest.mark.parametrize("chunk,segment,long_word", [(1 << 18, 1 << 22, 1 << 12), (500, 90, 4)])
+def test_passages_of_words_against_brute_force(make, passages, monkeypatch, chunk, segment, long_word):
+    for name, value in (("CHUNK", chunk), ("SEGMENT", segment), ("LONG_WORD", long_word)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(n))
+    shared = [prose(120) for _ in range(4)]
+    texts = [None, "", "the " * 300, shared[0], shared[0].replace(" ", "\n"), prose(40) + " " + " ".join(shared[1].split()[:50]) + " q", prose(9) + " " + " ".join(shared[1].split()[:50]) + " z"]
+    for _ in range(30):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = r.choice(shared).split()
+            a = r.randint(0, 60)
+            parts += [prose(r.randint(0, 70)), r.choice([" ", "\n ", "\t"]).join(w[a : r.randint(a, 120)])]
+        texts.append(" ".join(parts))
+    got = {x.doc_id: x for x in suffix_dedup.dedup_report(make(texts)).collect()}
+    assert [got[i].n_passage_words for i in range(len(texts))] == passage_words_by_hand(texts, 51)
+    assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in (got[i] for i in range(len(texts)))] == removed_by_hand(texts, 400)
+
+
+def test_many_repeated_rows_with_null_ids(make):
+    r = random.Random(2)
+    text = " ".join(f"w{r.randrange(5000)}" for _ in range(400))
+    found = suffix_dedup.dedup_report(make([text] * 10_000 + ["alone"], ids=[None] * 10_001)).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, found)) == [(5, 0, 0, 1), (len(text), len(text), 1, 10_000)]
 
 
 def test_repeats_with_null_ids_and_repeated_rows(make):
@@ -301,7 +341,7 @@ def test_pipeline_cuts_passages_of_over_fifty_words(make):
     r = random.Random(4)
     prose = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7))) for _ in range(n))
     passage, short = prose(51), prose(25)
-    assert corpus_pipeline.REPEAT <= len(passage) < suffix_dedup.THRESHOLD
+    assert len(passage) < suffix_dedup.BYTES.threshold
     docs = make([f"{prose(60)} {passage} {prose(60)} {short} {prose(9)}" for _ in range(2)] + [prose(200)])
     out = {x.doc_id: x.text for x in corpus_pipeline.cut_repeats(None, docs, None).collect()}
     before = {x.doc_id: x.text for x in docs.collect()}
