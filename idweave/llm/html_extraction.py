@@ -23,10 +23,12 @@ from .common import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
+    r"|(?P<text>[^<]+|<(?![a-zA-Z/]|/[a-zA-Z])|</(?![a-zA-Z]))",
     re.S,
 )
+#: a tag with a quote that never ends stops at the next mark
+_BROKEN = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 
@@ -42,6 +44,8 @@ _PARAGRAPH = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6 div section
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an open element of the first kind ends where one of the second kind opens
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: a stray end of the second kind does not reach out of an element of the first kind
+_WALL, _INSIDE = frozenset("table article main".split()), frozenset("a b em i li p span strong".split())
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|breadcrumbs?|comments?|cookie|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|"
     r"navigation|newsletter|notice|pagination|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
@@ -93,17 +97,45 @@ def _is_bad(tag, attrs):
     return " hidden" in attrs.lower() and bool(re.search(r"\shidden(?:\s|=|/|$)", attrs, re.I))
 
 
+class _Open:
+    """The open elements from the root down, with where each tag and the nearest block stand: nothing is searched."""
+
+    def __init__(self, root):
+        self.path, self.blocks, self.walls, self.at = [root], [], [], {}
+
+    def push(self, node):
+        depth = len(self.path)
+        self.path.append(node)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag in _BLOCK:
+            self.blocks.append(depth)
+        if node.tag in _WALL:
+            self.walls.append(depth)
+
+    def cut(self, depth):
+        """Close the element at ``depth`` and all below it."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            for stack in (self.at[node.tag], self.blocks, self.walls):
+                if stack and stack[-1] == len(self.path):
+                    stack.pop()
+
+    def close(self, tag):
+        """Close the nearest element of the tag; an inline one is not sought outside a table or an article."""
+        found = self.at.get(tag)
+        if found and not (tag in _INSIDE and self.walls and self.walls[-1] > found[-1]):
+            self.cut(found[-1])
+
+
 def parse(page):
     """(root, elements in page order); text is a str child.  Unclosed tags end with their parents."""
-    root = here = Node("#root", None, False, 0)
+    root = Node("#root", None, False, 0)
     nodes, at, size = [root], 0, len(page)
+    open_, endless = _Open(root), set()
     while at < size:
-        m = _TOKEN.match(page, at)
-        if m is None:  # an attribute quote that never ends: the mark is plain text
-            here.kids.append("<")
-            at += 1
-            continue
+        m = _TOKEN.match(page, at) or _BROKEN.match(page, at)
         at = m.end()
+        here = open_.path[-1]
         tag = m["tag"]
         if tag is None:
             text = m["text"] or m["cdata"]
@@ -112,38 +144,32 @@ def parse(page):
             continue
         tag = tag.lower()
         if m["close"]:
-            node = here
-            while node.up is not None and node.tag != tag:
-                if node.tag in ("table", "article", "main") and tag in ("b", "i", "span", "a", "p", "li", "em", "strong"):
-                    node = root
-                    break
-                node = node.up
-            if node.up is not None:
-                here = node.up
+            open_.close(tag)
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             if end or tag in ("script", "style", "textarea", "title"):
                 at = end.end() if end else size
                 if tag not in ("script", "style", "title"):
                     here.kids.append(" ")
                 continue
-        if tag in _BLOCK:  # a block ends an open paragraph, with the inline elements in it
-            node = here
-            while node.up is not None and node.tag not in _BLOCK:
-                node = node.up
-            if node.tag == "p" or node.tag in _HEADING and tag in _HEADING:
-                here = node.up
-        closes = next((k for k in _CLOSES if tag in _CLOSES[k] and here.tag == k), None)
-        if closes:
-            here = here.up
+        if tag in _BLOCK and open_.blocks:  # a block ends an open paragraph, with the inline elements in it
+            depth = open_.blocks[-1]
+            if open_.path[depth].tag == "p" or open_.path[depth].tag in _HEADING and tag in _HEADING:
+                open_.cut(depth)
+        here = open_.path[-1]
+        if tag in _CLOSES.get(here.tag, ()):
+            open_.cut(len(open_.path) - 1)
+            here = open_.path[-1]
         node = Node(tag, here, _is_bad(tag, m["attrs"]), len(nodes))
         if node.bad:
             node.unseen, node.thread = _is_unseen(tag, m["attrs"]), _is_thread(m["attrs"])
         nodes.append(node)
         here.kids.append(node)
         if tag not in _VOID and not m["attrs"].endswith("/"):
-            here = node
+            open_.push(node)
     return root, nodes
 
 
