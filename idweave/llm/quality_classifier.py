@@ -9,7 +9,8 @@ weights that grow with their similarity.
 Defined results: a null or empty text has the zero vector and scores the share of good labels.
 Rows are scored one by one; repeated rows repeat, an empty table gives none.  Without labels all
 scores are 0.5.  Rows with several labels count with the least of them.  Ties between equally
-near neighbours at the last place go to the lower position in the sample.
+near neighbours (cosines that agree to six places) go to the lower position in the sample, and
+products are taken over blocks of one shape, so that equal texts have equal scores wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ WORD_BUCKETS, SHAPE_BUCKETS, DIM = 3072, 1024, 48
 SAMPLE = 1500
 #: Neighbours that vote, and how steeply their weight grows with the cosine.
 NEIGHBOURS, STEEP = 15, 12.0
-#: Rows scored at a time.
-BLOCK = 512
+#: Rows scored at a time; smaller blocks are filled up with zeros.
+BLOCK = 128
 
 _BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 
@@ -62,6 +63,13 @@ def term_counts(data, offsets):
     return used // _BUCKETS, used % _BUCKETS, times
 
 
+def _full(x):
+    """``x`` with rows of zeros up to BLOCK: a product then does not depend on how many rows stand beside one."""
+    out = np.zeros((BLOCK, x.shape[1]), np.float32)
+    out[: len(x)] = x
+    return out
+
+
 def _dense(n, row, bucket, times, length):
     """Logarithms of counts for each thousand bytes: rows of any length compare."""
     out = np.zeros((n, _BUCKETS), np.float32)
@@ -77,8 +85,8 @@ def project(texts, weights, basis):
         for a in range(0, len(offsets) - 1, BLOCK):
             own = offsets[a : a + BLOCK + 1]
             part, at = data[own[0] : own[-1]], own - own[0]
-            x = _dense(len(at) - 1, *term_counts(part, at), np.diff(at)) * weights
-            out[i + a : i + a + len(at) - 1] = x @ basis
+            x = _dense(BLOCK, *term_counts(part, at), np.concatenate([np.diff(at), np.zeros(BLOCK + 1 - len(at), np.int64)])) * weights
+            out[i + a : i + a + len(at) - 1] = (x @ basis)[: len(at) - 1]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -124,10 +132,14 @@ def vote(vectors, model):
     out = np.empty(len(vectors))
     # classes differ in size in the sample by chance only, but may: each label's votes are weighed alike
     balance = np.where(labels > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9))
+    place = np.arange(len(known))
     for i in range(0, len(vectors), BLOCK):
-        cosine = vectors[i : i + BLOCK] @ known.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.exp(STEEP * (np.take_along_axis(cosine, near, 1).astype(np.float64) - 1)) * balance[near]
+        own = vectors[i : i + BLOCK]
+        # the rounded cosine and the place in one number: no two are equal
+        cosine = np.rint((_full(own) @ known.T)[: len(own)].astype(np.float64) * 1e6).astype(np.int64)
+        near = np.argpartition(place - cosine * len(known), k - 1, axis=1)[:, :k]
+        near.sort(axis=1)
+        weight = np.exp(STEEP * (np.take_along_axis(cosine, near, 1) / 1e6 - 1)) * balance[near]
         out[i : i + BLOCK] = (weight * labels[near]).sum(1) / weight.sum(1)
     empty = ~vectors.any(axis=1)
     out[empty] = good
