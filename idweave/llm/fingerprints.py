@@ -8,24 +8,29 @@ pseudo-random order of all bins, which does not depend on the text.  Of each bin
 the share of equal bins, corrected for the 2**-BITS of them that agree by chance.
 
 The edited text of a row ends with a piece of the next row's text.  Rows are dealt to ranges of
-ids whose bounds are found by one aggregation; the first row of each range also goes to the
-range before it, so that every row meets the next one in its own range.
+(id, hash of the text) whose bounds come from a random sample of bounded size; the first row of
+each range also goes to the range before it, so that every row meets the next one in its own range.
+Many rows with one id are split by their texts.  Of very many equal rows all but one range's worth
+are followed by an equal row wherever they go, so they are dealt out at random.
 
 Defined results: a null text counts as empty; texts without words share one fingerprint.  Rows
-are ordered by id, then by text; null ids come first; after the last row comes the first.  A
-table of one row is followed by itself.  An empty table gives none.
+are ordered by id, then by the text's xxhash64; null ids come first; after the last row comes the
+first.  A table of one row is followed by itself.  An empty table gives none.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 N, BINS, BITS = 5, 128, 8
-#: Rows of a range on average, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 1024, 8192
+#: Rows of a range on average, ranges at most (beyond RANGE_ROWS * MOST_RANGES rows they grow, and Spark's window spills),
+#: and sampled rows for each range: the bounds come from MOST_RANGES * SAMPLED rows of two numbers at most.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 1024, 1 << 16, 16
 
 #: bits below a bin's number in a hash without its sign
 _LOW = 63 - (BINS.bit_length() - 1)
@@ -77,42 +82,51 @@ def likeness(a, b):
     return F.greatest(F.lit(0.0), (share - chance) / (1 - chance))
 
 
-def _range_bounds(docs, id_col):
-    """(ascending ids that begin a range, least id, whether null ids exist): at most MOST_RANGES numbers come to the driver."""
-    found = docs.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least"), F.count(id_col).alias("known")).first()
-    ranges = min(MOST_RANGES, -(-found.n // RANGE_ROWS))
-    if ranges < 2 or found.least is None:
-        return [], found.least, found.known < found.n
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = docs.agg(F.percentile_approx(id_col, shares, max(10_000, 20 * ranges)).alias("b")).first().b
-    return sorted({b for b in bounds if b > found.least}), found.least, found.known < found.n
+def _range_bounds(keys, n):
+    """The ascending keys that begin a range, and how many ranges begin with each (over 1: very many equal rows)."""
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return []
+    sample = keys.sample(min(1.0, SAMPLED * ranges / n), seed=17)
+    places = sample.agg(F.sort_array(F.collect_list("key")).alias("keys")).select(F.explode(F.filter("keys", lambda _, i: i % SAMPLED == SAMPLED - 1)).alias("key"))
+    return places.groupBy("key").agg(F.count(F.lit(1)).alias("times")).orderBy("key").collect()  # about MOST_RANGES rows at most
+
+
+def _constant(values, kind):
+    """Column: a constant array, written as JSON, which Catalyst reads once when it plans."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def with_next(docs, id_col, text_col, carried):
     """``docs`` (id, text and the columns ``carried``) with the next row's text and carried columns as ``next_*``."""
-    bounds, least, nulls = _range_bounds(docs, id_col)
-    key = f"`{id_col}`"
-    if bounds:
-        array = "array(" + ",".join(f"{b}L" for b in bounds) + ")"
-        steps = len(bounds).bit_length()
-        # binary search: the number of bounds that are not above the id
-        probe = f"k + shiftleft(1, e) <= {len(bounds)} AND bounds[k + shiftleft(1, e) - 1] <= {key}"
-        search = f"aggregate(sequence({steps - 1}, 0, -1), 0, (k, e) -> IF({probe}, k + shiftleft(1, e), k))"
-        rows = docs.withColumn("__range", F.when(F.col(id_col).isNull(), 0).otherwise(F.expr(_let("bounds", array, search))))
-        leads = F.expr(f"__range > 0 AND {key} = {_let('bounds', array, 'bounds[greatest(__range - 1, 0)]')}")
-    else:
-        rows, leads = docs.withColumn("__range", F.lit(0)), F.lit(False)
-    first = F.col(id_col).isNull() if nulls else F.col(id_col) == F.lit(least)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("key")
+    found = docs.select(key).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).first()
+    bounds = _range_bounds(docs.select(key), found.n)
+    kind = f"struct<id:{id_type},th:bigint>"
+    begins = _constant([{"id": b.key.id, "th": b.key.th} for b in bounds], kind)
+    times = _constant([b.times for b in bounds], "bigint")
+    first = F.get(_constant([{"id": found.first.id, "th": found.first.th}] if found.n else [], kind), F.lit(0))
+    rows = docs.withColumn("__key", key)
+    # binary search: the number of bounds that are not above the key
+    halves = F.array(*[F.lit(1 << e) for e in reversed(range(MOST_RANGES.bit_length()))])
+    step = lambda k, half: F.when((k + half <= len(bounds)) & (F.get(begins, k + half - 1) <= F.col("__key")), k + half).otherwise(k)
+    rows = rows.withColumn("__range", F.aggregate(halves, F.lit(0), step))
+    leads = F.coalesce(F.get(begins, F.col("__range") - 1) == F.col("__key"), F.lit(False))
+    rows = rows.withColumns({"__leads": leads, "__times": F.when(leads, F.get(times, F.col("__range") - 1)).otherwise(1), "__last": F.lit(len(bounds))})
+    # equal rows that fill several ranges: one share stays in order, the others are followed by their like
+    rows = rows.withColumn("__share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "__times"))
+    apart = F.col("__share") > 0
     # (range, 0) is the row itself; (range before, 1) the row that follows that range's last
-    own = F.struct(F.col("__range").alias("r"), F.lit(0).alias("after"))
-    before = F.when(leads, F.struct((F.col("__range") - 1).alias("r"), F.lit(1).alias("after")))
-    around = F.when(first, F.struct(F.lit(len(bounds)).alias("r"), F.lit(1).alias("after")))
-    places = F.filter(F.array(own, before, around), lambda p: p.isNotNull())
-    rows = rows.withColumn("__p", F.explode(places))
+    place = lambda r, share, after: F.struct(F.lit(r).cast("long").alias("r"), F.lit(share).cast("long").alias("s"), F.lit(after).alias("after"))
+    own = place(F.col("__range"), F.col("__share"), 0)
+    before = F.when(F.col("__leads") & ~apart, place(F.col("__range") - 1, 0, 1))
+    around = F.when(F.col("__key").eqNullSafe(first) & ~apart, place(F.col("__last"), 0, 1))
+    rows = rows.withColumn("__p", F.explode(F.filter(F.array(own, before, around), lambda p: p.isNotNull())))
     # the range is dealt by a hash of its number; ranges are many and even
-    order = Window.partitionBy("__p.r").orderBy("__p.after", F.col(id_col).asc_nulls_first(), F.col(text_col))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in (text_col, *carried)})
-    return rows.filter("__p.after = 0").drop("__range", "__p")
+    order = Window.partitionBy("__p.r", "__p.s").orderBy("__p.after", "__key.id", "__key.th")
+    rows = rows.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(order), F.when(apart, F.col(c))) for c in (text_col, *carried)})
+    return rows.filter("__p.after = 0").drop("__key", "__range", "__leads", "__times", "__last", "__share", "__p")
 
 
 def fingerprint_edits(docs, id_col="doc_id", text_col="text"):
