@@ -1,9 +1,11 @@
 """URL filters over a sorted digest array.
 
-Keys (rule host + path, or a listed word) are hashed with 64-bit xxhash and sorted into one
-array that every worker memory-maps.  The candidate keys of a batch of urls are probed by a
-vectorised binary search; a hit counts only if the stored full string is the same, so hash
-collisions cannot change a verdict.
+Keys (host + path of a rule or of a listed site, or a word) are hashed with 64-bit xxhash and
+sorted into one array that every worker memory-maps.  The candidate keys of a batch of urls are
+probed by a vectorised binary search; a hit counts only if the stored full string is the same, so
+hash collisions cannot change a verdict.  Rules come first; a url that none fits is judged by the
+longest listed site that fits it (a table of any origin, such as a public block list), and without
+one by the words of its host.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and
 is allowed.  Rows are judged one by one, so repeated rows repeat and an empty table gives none.
@@ -22,8 +24,26 @@ from .common import mapped, packed, table, unpacked
 #: (verdict, host + path); fixed values given with the task.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Words that block a url that no rule fits, if one is a part of its host between dots and hyphens.
-BLOCKED_WORDS = ("adult", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "viagra", "warez", "xxx")
+#: Words that block a url that no rule fits, if one (or its plural) is a part of its host between dots and hyphens.
+BLOCKED_TOPICS = {
+    "gambling": "bet betting bookmaker casino gambling jackpot lottery poker roulette slot sportsbook wager",
+    "adult": "adult camgirl erotic escort fetish hentai milf nude porn porno sex xxx",
+    "pharmacy": "cialis levitra pill steroid tramadol viagra xanax",
+    "fraud": "malware phishing ransomware scam spam spyware trojan",
+    "piracy": "crack keygen nulled warez",
+    "advertising": "ad adserver adtrack banner clickbait popunder popup",
+}
+
+
+def word_keys(topics=None):
+    """Each listed word and its plural, in order."""
+    words = {w for line in (BLOCKED_TOPICS if topics is None else topics).values() for w in line.split()}
+    return tuple(sorted(words | {w + "s" for w in words}))
+
+
+BLOCKED_WORDS = word_keys()
+#: Listed sites that the array takes, at most: its size bound (about 60 bytes each).
+MOST_LISTED = 1 << 22
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -40,22 +60,25 @@ def split_url(url):
     return host.translate(_LOWER), slash + path
 
 
-def build_index(rules=RULES, words=BLOCKED_WORDS):
+def build_index(rules=RULES, words=BLOCKED_WORDS, listed=()):
     """The sorted digest array with its full strings, as one byte string.
 
-    Kinds: 1 allow rule, 2 block rule, 3 blocked word.  Keys are ``r`` + host + path or ``w`` + word.
+    Kinds: 1 allow rule, 2 block rule, 3 blocked word, 4 allowed site, 5 blocked site.  Keys are
+    ``r`` (rule) or ``s`` (site) + host + path, or ``w`` + word.  A site on both lists is allowed.
     """
-    entries = [("r" + text, 1 if verdict == "allow" else 2, text.index("/")) for verdict, text in rules]
-    entries += [("w" + w, 3, 0) for w in words]
-    entries.sort(key=lambda e: (xxhash.xxh64_intdigest(e[0]), e[0]))
-    raw = [e[0].encode() for e in entries]
-    lengths = sorted({len(text) - text.index("/") for _, text in rules})
+    entries = {"r" + text: 1 if verdict == "allow" else 2 for verdict, text in rules} | {"w" + w: 3 for w in words}
+    sites = sorted((verdict, text if "/" in text else text + "/") for verdict, text in listed)
+    entries |= {"s" + text: 4 if verdict == "allow" else 5 for verdict, text in reversed(sites)}
+    entries = sorted(((key.encode(), kind) for key, kind in entries.items()), key=lambda e: (xxhash.xxh64_intdigest(e[0]), e[0]))
+    raw = [e[0] for e in entries]
+    lengths = lambda pairs: np.array(sorted({len(text) - text.index("/") for _, text in pairs}), np.int64)
     return packed({
         "digest": np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64),
         "kind": np.array([e[1] for e in entries], np.int8),
         "at": np.cumsum([0] + [len(r) for r in raw], dtype=np.int64),
         "text": np.frombuffer(b"".join(raw), np.uint8),
-        "path_lengths": np.array(lengths, np.int64),
+        "rule_lengths": lengths(rules),
+        "site_lengths": lengths(sites),
     })
 
 
@@ -66,7 +89,7 @@ class Index:
         parts = unpacked(buffer)
         self.digest, self.kind, self.at = parts["digest"], parts["kind"], parts["at"]
         self.text = parts["text"].tobytes()
-        self.path_lengths = parts["path_lengths"].tolist()
+        self.lengths = {kind: parts[name].tolist() for kind, name in (("r", "rule_lengths"), ("s", "site_lengths"))}
 
     def probe(self, keys):
         """Kind of each key's entry, 0 where there is none."""
@@ -95,29 +118,40 @@ class Index:
             if not host:
                 continue
             labels = host.split(".")
-            heads = [path[:n] for n in self.path_lengths if n <= len(path)]
-            for k in range(len(labels)):
-                suffix = ".".join(labels[k:])
-                for head in heads:
-                    keys.append(f"r{suffix}{head}")
-                    owner.append(i)
+            for kind, lengths in self.lengths.items():
+                # a site without a path stands for the whole host, with an empty path too
+                heads = [path[:n] for n in lengths if n <= len(path)] or (["/"] if kind == "s" and lengths and not path else [])
+                for k in range(len(labels)):
+                    suffix = ".".join(labels[k:])
+                    for head in heads:
+                        keys.append(f"{kind}{suffix}{head}")
+                        owner.append(i)
             for word in {w for label in labels for w in label.split("-") if w}:
                 keys.append("w" + word)
                 owner.append(i)
-        rule, verdict, best = [None] * len(hosts), ["allow"] * len(hosts), [0] * len(hosts)
+        rule, verdict, best = [None] * len(hosts), ["allow"] * len(hosts), [(0, 0)] * len(hosts)
         for k in np.flatnonzero(found := self.probe(keys)).tolist():
             i, kind, text = owner[k], int(found[k]), keys[k][1:]
-            if kind == 3:
-                if rule[i] is None:
-                    verdict[i] = "block"
-            elif len(text) > best[i]:
-                rule[i], best[i], verdict[i] = text, len(text), "allow" if kind == 1 else "block"
+            rank = (3 if kind < 3 else 1 if kind == 3 else 2, len(text))  # rules, then sites, then words; the longest first
+            if rank > best[i]:
+                best[i], verdict[i] = rank, "allow" if kind in (1, 4) else "block"
+                if kind < 3:
+                    rule[i] = text
         return hosts, paths, rule, verdict
 
 
-def judge_urls(pages, id_col="page_id", url_col="url", rules=RULES, words=BLOCKED_WORDS):
-    """id, host, path, rule and verdict of every row.  The rule list is a parameter of known size."""
-    blob = build_index(rules, words)
+def judge_urls(pages, id_col="page_id", url_col="url", rules=RULES, words=BLOCKED_WORDS, listed=None):
+    """id, host, path, rule and verdict of every row.
+
+    ``listed`` is a table (verdict, site) of host or host + path prefixes, of MOST_LISTED rows at most:
+    a larger one is refused.
+    """
+    sites = []
+    if listed is not None:
+        sites = [(r.verdict, r.site) for r in listed.select("verdict", "site").filter("site is not null").limit(MOST_LISTED + 1).collect()]
+        if len(sites) > MOST_LISTED:
+            raise ValueError(f"more than {MOST_LISTED} listed sites")
+    blob = build_index(rules, words, sites)
     shared = pages.sparkSession.sparkContext.broadcast(blob)
     key = f"urls-{xxhash.xxh64_hexdigest(blob)}"
     src = pages.select(id_col, url_col)
