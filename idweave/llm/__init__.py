@@ -23,19 +23,15 @@ QUERIES = {
 }
 
 
+#: all modules are loaded with the subpackage: where one of them can't be, the subpackage can't
+MODULES = {name: import_module(f"{__name__}.{module}") for name, (module, _) in QUERIES.items()}
+
+
 def queries():
     """name -> function(spark, sf_dir) of every operator of this subpackage."""
-    out = {}
-    for name, (module, function) in QUERIES.items():
-        out[name] = getattr(import_module(f"{__name__}.{module}"), function)
-    return out
+    return {name: getattr(MODULES[name], function) for name, (_, function) in QUERIES.items()}
 
 
 def oracle_sql():
     """name -> DuckDB SQL, where SQL can express the operator."""
-    out = {}
-    for name, (module, _) in QUERIES.items():
-        sql = getattr(import_module(f"{__name__}.{module}"), "ORACLE_SQL", None)
-        if sql:
-            out[name] = sql
-    return out
+    return {name: module.ORACLE_SQL for name, module in MODULES.items() if getattr(module, "ORACLE_SQL", None)}

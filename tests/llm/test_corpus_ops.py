@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from idweave.llm import fingerprints, jaccard_join, packing, suffix_dedup
@@ -230,9 +231,31 @@ def test_next_rows_across_ranges(make, monkeypatch):
     assert found == {i: texts[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
 
 
+def by_id_and_hash(rows):
+    def signed(text):
+        h = xxhash.xxh64_intdigest(text.encode(), seed=42) if text is not None else 42
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+
+
+@pytest.mark.parametrize("sampled", [16, 1])
+def test_next_rows_with_hot_ids_and_equal_rows(make, monkeypatch, sampled):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    monkeypatch.setattr(fingerprints, "SAMPLED", sampled)
+    rows = [(None, f"own text {k}") for k in range(400)] + [(None, "")] * 600 + [(7, "same")] * 300 + [(7, f"other {k}") for k in range(200)] + [(k, f"t{k}") for k in range(8, 300)]
+    random.Random(1).shuffle(rows)
+    docs = make([t for _, t in rows], ids=[i for i, _ in rows], parts=7).select("doc_id", "text")
+    found = collections.Counter(map(tuple, fingerprints.with_next(docs, "doc_id", "text", []).collect()))
+    order = by_id_and_hash(rows)
+    assert found == collections.Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+
+
 def test_ties_nulls_and_single_rows(make):
-    ties = fingerprints.with_next(make(["b", "a", "c", None], ids=[1, 1, None, 2]).select("doc_id", "text"), "doc_id", "text", []).collect()
-    assert sorted(((r.doc_id, r.text, r.next_text) for r in ties), key=str) == sorted([(None, "c", "a"), (1, "a", "b"), (1, "b", None), (2, None, "c")], key=str)
+    rows = [(1, "b"), (1, "a"), (None, "c"), (2, None)]
+    ties = fingerprints.with_next(make([t for _, t in rows], ids=[i for i, _ in rows]).select("doc_id", "text"), "doc_id", "text", []).collect()
+    order = by_id_and_hash(rows)
+    assert collections.Counter(map(tuple, ties)) == collections.Counter((*r, order[(k + 1) % 4][1]) for k, r in enumerate(order))
     one = fingerprints.fingerprint_edits(make(["some words of a text that stands alone"])).first()
     assert one.near_next == 1
     assert fingerprints.fingerprint_edits(make(["x"]).limit(0)).count() == 0

@@ -59,6 +59,40 @@ def test_language_accuracy_and_edges(spark, make, edges):
     assert {r.lang_pred for r in language_id.detect_language(make(edges), unlabelled).collect()} == {"und"}
 
 
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 256, (40, language_id.WINDOW)).astype(np.uint8)
+    windows[3, 50:] = 0
+    net = language_id.train(windows, rng.integers(0, 3, 40), 3, epochs=1)
+    got = np.exp(language_id.log_probabilities(windows, net))
+    widths = [w for w, n in language_id.FILTERS.items() for _ in range(n)]
+    for window, p in zip(windows.tolist(), got):
+        padded = window + [0] * (max(widths) - 1)
+        hidden = []
+        for f, width in enumerate(widths):
+            weights = net["filters"][:, f].reshape(-1, language_id.DIM).astype(float)
+            assert not weights[width:].any()
+            best = max(sum(float(net["embedding"][padded[at + k]] @ weights[k]) for k in range(width)) for at in range(len(window)))
+            hidden.append(max(best + float(net["bias"][f]), 0.0))
+        z = [sum(h * float(o) for h, o in zip(hidden, net["out"][:, c])) + float(net["out_bias"][c]) for c in range(3)]
+        e = [np.exp(x - max(z)) for x in z]
+        assert np.allclose(p, np.array(e) / sum(e), atol=1e-4)
+    # a document: the mean of its windows' distributions, weighted by their bytes
+    text = "".join(chr(rng.integers(97, 123)) for _ in range(400))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    parts = [raw[a : a + language_id.WINDOW] for a in range(0, len(raw), language_id.WINDOW)]
+    full = np.array([np.pad(x, (0, language_id.WINDOW - len(x))) for x in parts])
+    wanted = sum(len(x) * q for x, q in zip(parts, np.exp(language_id.log_probabilities(full, net)))) / len(raw)
+    assert np.allclose(language_id.classify(pa.array([text, ""]), net)[0], wanted, atol=1e-5)
+
+
+def test_every_language_is_sampled(make):
+    langs = [f"l{k:03d}" for k in range(300)]
+    docs = make([f"text in the language number {k} of many" for k in range(300)] + ["null id"] * 5, ids=[*range(300), *[None] * 5], langs=langs + ["l000"] * 5)
+    windows, labels, found = language_id.labelled_windows(docs, "doc_id", "text", "lang")
+    assert found == langs and len(set(labels.tolist())) == 300
+
+
 def test_training_is_not_cut_short():
     assert language_id.train.__defaults__[0] == language_id.EPOCHS == 8
 
@@ -109,6 +143,45 @@ def test_quality_rules_tell_good_from_bad(spark, make, edges):
     assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
 
 
+def test_ratio_and_threshold_against_brute_force(spark, make):
+    r = random.Random(17)
+    good_words, bad_words = [f"g{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    texts = [" ".join(r.choice(good_words if k % 3 else bad_words) if r.random() < 0.8 else r.choice(good_words + bad_words) for _ in range(r.randint(50, 90))) for k in range(60)]
+    labels = {k: int(k % 3 > 0) for k in range(40)}
+    buckets = {}
+
+    def bucket(words):  # the operator's own hash of a unigram or bigram, the rest is counted here
+        if words not in buckets:
+            data, offsets, _ = common.utf8_view(pa.array([" ".join(words)]))
+            buckets[words] = int(quality_rules._features(data, offsets)[1][-1])
+        return buckets[words]
+
+    def grams(text):
+        w = text.split()
+        return [bucket((x,)) for x in w] + [bucket(pair) for pair in zip(w, w[1:])]
+
+    raw, trusted = collections.Counter(), collections.Counter()
+    for k, t in enumerate(texts):
+        raw.update(grams(t))
+        if labels.get(k) == 1:
+            trusted.update(grams(t))
+    size, n, m = quality_rules.BUCKETS, sum(raw.values()), sum(trusted.values())
+    p = lambda b: (raw[b] + 1) / (n + size)
+    ratio = lambda b: np.log((trusted[b] + size * p(b)) / (m + size) / p(b))
+    scores = [sum(map(ratio, grams(t))) / len(grams(t)) for t in texts]
+    known = [(scores[k], y) for k, y in labels.items()]
+    good = sorted(s for s, y in known if y)
+    most = good[int(quality_rules.KEEP_LOST * (len(good) - 1))]
+    quality = lambda cut: round(sum(s >= cut for s in good) / len(good) + sum(s < cut for s, y in known if not y) / (len(known) - len(good)), 9)
+    best = min((c for c in {s for s, _ in known} if c <= most), key=lambda c: (-quality(c), c))
+    cut = (best + max([s for s, _ in known if s < best], default=best)) / 2
+
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    rows = {x.doc_id: x for x in quality_rules.quality_rules(make(texts), table).collect()}
+    assert all(abs(rows[k].llr - s) < 1e-9 for k, s in enumerate(scores))
+    assert all(rows[k].kept == (s >= cut and not rows[k].base_failed) for k, s in enumerate(scores) if abs(s - cut) > 1e-9)
+
+
 def test_counts_cover_all_rows(spark, make):
     raw, trusted = quality_rules.corpus_counts(make(["a b c", "a b", None, "d"]), [1])
     assert (raw.sum(), trusted.sum()) == (5 + 3 + 1, 3)
@@ -205,6 +278,24 @@ def test_sample_is_counted_in_tasks(spark, make, monkeypatch):
     assert len(seen) > 5 and all(sum(map(len, r[1:])) <= 6 * 4096 for r in seen)
 
 
+def test_equal_texts_have_equal_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = common.unpacked(quality_classifier.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
+    texts = [r.text for r in docs.select("text").limit(300).collect()]
+    score = lambda t: quality_classifier.vote(quality_classifier.project(pa.array(t), model["weights"], model["basis"]), model)
+    together = score(texts)
+    alone = np.concatenate([score([t]) for t in texts[:100]])
+    shifted = score(["some other text"] * 77 + texts)[77:]
+    assert (together[:100] == alone).all() and (together == shifted).all()
+
+
+def test_equally_near_neighbours_go_by_place():
+    known = np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 40, np.float32)
+    labels = np.array([1.0] * 15 + [0.0] * 25 + [1.0] * 40, np.float32)
+    model = {"vectors": known, "labels": labels}
+    assert quality_classifier.vote(np.array([[1.0, 0.0]], np.float32), model)[0] == 1.0
+
+
 def test_votes_against_brute_force():
     rng = np.random.default_rng(0)
     unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -267,6 +358,114 @@ def test_broken_html(page):
     assert isinstance(html_extraction.main_text(page), str)
 
 
+def naive_text(tree):
+    """The article of a tree of (tag, children) by the scoring rules, computed anew for each element."""
+    block = lambda t: t in ("div", "p", "section", "body")
+    strings = lambda node: [k for k in node[1] if isinstance(k, str)]
+
+    def size(node, linked=False, inside=False):
+        inside = inside or node[0] == "a"
+        own = sum(len(s.strip()) for s in strings(node)) if inside or not linked else 0
+        return own + sum(size(k, linked, inside) for k in node[1] if not isinstance(k, str))
+
+    def commas(node):
+        return sum(s.count(",") for s in strings(node)) + sum(commas(k) for k in node[1] if not isinstance(k, str) and not block(k[0]))
+
+    def gained(node):
+        inline = all(isinstance(k, str) or not block(k[0]) for k in node[1])
+        own = sum(len(s.strip()) for s in strings(node))
+        length = size(node) if inline else own
+        if not (block(node[0]) and node[0] != "body" and (inline or own > 25) and length >= 25):
+            return 0.0
+        return (1 + commas(node) + min(length / 100, 3)) * (1 - size(node, True) / max(size(node), 1))
+
+    def points(node, depth=0):
+        own = gained(node) * 0.5 ** (depth - 1) if depth else (gained(node) if node[0] in ("div", "section") else 0.0)
+        return (own if depth <= 4 else 0.0) + sum(points(k, depth + 1) for k in node[1] if not isinstance(k, str))
+
+    everything, order = [], [0]
+
+    def walk(node, up, depth):
+        everything.append((node, up, depth, order[0]))
+        order[0] += 1
+        for k in node[1]:
+            if not isinstance(k, str):
+                walk(k, node, depth + 1)
+
+    walk(tree, None, 0)
+    score = lambda n: points(n) * (1 - size(n, True) / max(size(n), 1))
+    open_ = [(score(n), depth, -at, n, up) for n, up, depth, at in everything if n[0] != "p" and points(n) > 0]
+    if not open_:
+        return None
+    top, _, _, best, up = max(open_, key=lambda x: x[:3])
+    out = []
+
+    def lines(node):
+        run = []
+
+        def flush():
+            text = " ".join("".join(run).split())
+            run.clear()
+            if text:
+                out.append(text)
+
+        def inner(n):
+            if block(n[0]):
+                flush()
+            for k in n[1]:
+                run.append(k) if isinstance(k, str) else inner(k)
+            if block(n[0]):
+                flush()
+
+        inner(node)
+        flush()
+
+    for kid in up[1] if up is not None and best[0] != "body" else [best]:
+        if isinstance(kid, str):
+            continue
+        density = size(kid, True) / max(size(kid), 1)
+        prose = kid[0] == "p" and (size(kid) > 80 and density < 0.25 or size(kid) > 40 and density == 0 and points(kid) == 0)
+        if kid is best or score(kid) >= max(2.0, 0.2 * top) or prose:
+            lines(kid)
+    return "\n".join(out)
+
+
+def test_scoring_against_a_naive_scorer():
+    r = random.Random(21)
+    words = lambda n: " ".join(r.choice(["stone", "river,", "of", "a", "lantern", "seven", "it,"]) for _ in range(n))
+
+    def grow(depth):
+        kids = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.5 or depth > 5:
+                kids.append(("p", [words(r.choice([2, 8, 30, 60]))] + ([("a", [words(r.choice([1, 5, 20]))])] if r.random() < 0.4 else [])))
+            elif kind < 0.6:
+                kids.append(("a", [words(6)]))
+            else:
+                kids.append((r.choice(["div", "section"]), grow(depth + 1)))
+        return kids
+
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[1]))}</{n[0]}>"
+    compared = 0
+    for _ in range(150):
+        tree = ("body", grow(0))
+        wanted = naive_text(tree)
+        if wanted is not None:
+            compared += 1
+            assert html_extraction.main_text(show(tree)) == wanted
+    assert compared > 100
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 20_000 + "</b>" * 20_000, "<svg>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<b><article>" + "</b>" * 40_000, '<a href="x>' * 20_001):
+        start = time.process_time()
+        html_extraction.main_text(page)
+        assert time.process_time() - start < 5
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = html_extraction.extract_text(pages.withColumn("text", F.lit("clash")))
@@ -307,6 +506,31 @@ def test_urls_against_brute_force(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def test_listed_sites_against_brute_force(spark):
+    r = random.Random(7)
+    name = lambda: r.choice(["a", "b", "c", "cd", "poker"]) + r.choice(["", "1", "-x"])
+    sites = {f"{name()}.{name()}.test{r.choice(['', '/', '/p/', '/p/q'])}": r.choice(["allow", "block"]) for _ in range(60)}
+    many = [("block", f"h{k}.example.invalid") for k in range(200_000)]
+    listed = spark.createDataFrame([(v, s) for s, v in sites.items()] + many, "verdict string, site string")
+    urls = [f"http://{'.'.join(name() for _ in range(r.randint(1, 3)))}.test{r.choice(['', '/', '/p', '/p/', '/p/q/z', '?x'])}" for _ in range(400)]
+    urls += ["http://h77.example.invalid", "http://h77.example.invalid/x", "http://h200000.example.invalid/", "http://a.net/"]
+
+    def judge(url):
+        host, path, rule, verdict = judge_by_hand(url)
+        if rule:
+            return verdict
+        fits = []
+        for s, v in [*sites.items(), *((s, v) for v, s in many if s.split(".")[0] in url)]:
+            h, slash, p = s.partition("/")
+            if (host == h or host.endswith("." + h)) and (not p or path.startswith("/" + p)):
+                fits.append((len(h) + 1 + len(p), v == "allow", v))
+        return max(fits)[2] if fits else verdict
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {x.page_id: x.verdict for x in url_filters.judge_urls(df, listed=listed).collect()}
+    assert rows == {i: judge(u) for i, u in enumerate(urls)}
+
+
 def test_digest_collisions_are_confirmed(monkeypatch):
     monkeypatch.setattr(url_filters.xxhash, "xxh64_intdigest", lambda k: 7)
     index = url_filters.Index(url_filters.build_index())
