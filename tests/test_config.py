@@ -4,7 +4,11 @@ from idweave.plans import config, presets
 
 
 def test_builtin_presets():
-    assert len(presets.PRESETS) == 40 and len(presets.preset_rows()) < 200
+    assert len(presets.PRESETS) == 40 and len(presets.preset_rows()) == 461
+    go = config.builtin("go")
+    assert go.contexts["interface"] == config.Context("PascalCase", None, "er") and go.contexts["package"].convention == "lowercase"
+    assert go.patterns == {"factory": "New{Name}", "getter": "{Name}", "setter": "Set{Name}", "predicate": "Is{Name}", "type": "{Name}"}
+    assert config.builtin("lisp").externals["join_with"] == "-" and config.builtin("py").contexts["dunder"] == config.Context("snake_case", "__", "__")
     assert config.builtin("c++").contexts["constant"].convention == "UPPER_SNAKE_CASE"
     assert config.builtin("go").contexts["constant"].convention == "PascalCase"
     assert config.builtin("immutable-tag").contexts is None and config.builtin("none") is None
@@ -16,7 +20,7 @@ def test_resolve_merges_left_to_right(tmp_path):
     found = config.resolve(str(tmp_path / ".naming.toml"))
     assert (found.version, found.name, found.extends, found.convention) == (3, "mine", None, "kebab-case")
     assert found.contexts["function"] == config.Context("kebab", "x") and found.contexts["variable"].convention == "snake_case" and found.contexts["type"].convention == "Ada_Case"
-    assert found.patterns == {"a": "1", "b": "3"} and found.tags == {"open": False, "declared": {"user": {"role": "noun"}}}
+    assert found.patterns == config.builtin("rust").patterns | {"a": "1", "b": "3"} and found.tags == {"open": False, "declared": {"user": {"role": "noun"}}}
 
 
 def test_errors(tmp_path):
@@ -43,5 +47,12 @@ def test_generated_files_load(tmp_path, name):
         assert loaded == config.builtin(name)
 
 
+def test_generated_files_hold_everything():
+    import tomllib
+
+    for name, preset in presets.PRESETS.items():
+        assert tomllib.loads(config.generate(name, name)) == preset
+
+
 def test_unknown_language_gives_the_starter():
     assert config.generate("klingon") == config.generate() and 'name = "my-project"' in config.generate()
