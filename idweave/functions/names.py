@@ -36,8 +36,14 @@ ROLE_WORDS = {
 #: Last words and the shape they give (fixed values).
 SHAPE_WORDS = {"array": ("a", "a1", "a2", "a3", "list", "array"), "record": ("r", "record"), "map": ("m", "map"), "set": ("set",)}
 
-#: Places where a name is cut besides its separators: before a capital that starts a word.
+#: Places where a name is cut besides its separators: before a capital that starts a word.  A word of one character
+#: before such a capital stays with it, unless it takes more than one byte (last case of the second pattern).
 WORD_START = r"(?<=[a-z])(?=[A-Z])|(?<=[^a-z_][^a-z_])(?=[A-Z][a-z])|(?<=[a-z][^a-zA-Z_])(?=[A-Z][a-z])"
+_LOWER, _UPPER = r"\p{IsLowercase}", r"\p{IsUppercase}"
+WIDE_WORD_START = (
+    rf"(?<=[{_LOWER}])(?=[{_UPPER}])|(?<=[^{_LOWER}_][^{_LOWER}_])(?=[{_UPPER}][{_LOWER}])"
+    rf"|(?<=[{_LOWER}][^{_LOWER}{_UPPER}_])(?=[{_UPPER}][{_LOWER}])|(?<=[^{_LOWER}\x00-\x7F])(?=[{_UPPER}][{_LOWER}])"
+)
 
 
 def col(sql: str) -> Column:
@@ -77,7 +83,11 @@ def convention(n: str) -> str:
 def tags(n: str, conv: str) -> str:
     """SQL: the name's lower-case words in order."""
     # most names have no capital after their first letter: nothing to look for in them
-    cut = f"IF(substring({n}, 2) = lower(substring({n}, 2)), lower({n}), lower(regexp_replace({n}, r'{WORD_START}', '_')))"
+    plain = f"octet_length({n}) = char_length({n})"
+    cut = (
+        f"CASE WHEN {plain} AND substring({n}, 2) = lower(substring({n}, 2)) THEN lower({n})"
+        f" WHEN {plain} THEN lower(regexp_replace({n}, r'{WORD_START}', '_')) ELSE lower(regexp_replace({n}, r'{WIDE_WORD_START}', '_')) END"
+    )
     return f"CASE WHEN {conv} = 'kebab-case' THEN filter(split(lower({n}), '-'), t -> t <> '') ELSE filter(split({cut}, '_'), t -> t <> '') END"
 
 

@@ -80,7 +80,7 @@ def cut_by_steps(segment):
         if c.isupper() and current:
             before_lower = segment[i - 1].islower()
             next_lower = i + 1 < len(segment) and segment[i + 1].islower()
-            if before_lower or (len(current) > 1 and next_lower):
+            if before_lower or (len(current.encode()) > 1 and next_lower):
                 out.append(current)
                 current = ""
         current += c
@@ -89,6 +89,8 @@ def cut_by_steps(segment):
 
 def test_cut_against_brute_force(spark):
     values = ["".join(p) for n in range(1, 7) for p in itertools.product("aA1_", repeat=n)]
+    values += ["".join(p) for n in range(1, 6) for p in itertools.product("aAéÉ٣_", repeat=n)]
+    values += ["fooÉtat", "éName", "ÉTatName", "ÉÉtat", "straßeÄndern", "日本Name", "имяФайла"]
     found = {r.identifier: r.tags for r in names.parse(rows(spark, values)).select("identifier", "tags").collect()}
 
     def expected(name):
