@@ -83,7 +83,7 @@ def cmd_extract(spark, a):
 
 
 def cmd_search(spark, a):
-    hits = search.ordered(search.search(extract.extract_identifiers(files.read_tree(spark, a.path)), a.query))
+    hits = search.ordered(search.search(extract.extract_identifiers(files.read_tree(spark, a.path, extract.MAX_FILE_SIZE)), a.query))
     if a.format == "json":
         spelled = hits.withColumn("convention", render.spelled(F.col("convention"), render.JSON_SPELLING))
         return print(_json([r.asDict(recursive=True) for r in spelled.toLocalIterator()]))
@@ -107,7 +107,7 @@ def cmd_prose(spark, a):
 
 
 def cmd_graph(spark, a):
-    found = extract.extract_identifiers(files.read_tree(spark, a.path))
+    found = extract.extract_identifiers(files.read_tree(spark, a.path, extract.MAX_FILE_SIZE))
     nodes, edges = graph.tag_nodes(found), graph.tag_edges(found)
     if a.query is not None:
         nodes, edges = graph.subgraph(nodes, edges, a.query)

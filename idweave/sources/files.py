@@ -1,15 +1,18 @@
 """File trees as a DataFrame ``path, ext, size, content``.
 
 Spark's own file index hides names that begin with ``_`` or ``.`` and cannot prune folders, so a
-Python data source lists the tree: the listing is split into batches of paths, and executors
-read the contents.  Folders that are skipped are never entered; files are chosen by name before
-they are opened.  The tree must be on a path that the executors see too.
+Python data source lists the tree.  The driver only opens folders until it has ``FOLDERS`` of them;
+tasks walk what lies below and read the contents as Arrow batches.  Folders that are skipped are
+never entered; files are chosen by name and size before they are opened.  The tree must be on a
+path that the executors see too.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,6 +34,8 @@ LANGUAGES = {
 }
 
 SCHEMA = "path string, ext string, size bigint, content string"
+#: Folders that are dealt to tasks, about; bytes of files in a task's list and in an Arrow batch.
+FOLDERS, LIST_BYTES, BATCH_BYTES = 256, 16 << 20, 8 << 20
 
 
 def extension(path: str) -> str:
@@ -38,55 +43,88 @@ def extension(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[1][1:]
 
 
-def list_files(root: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the source files below a folder, or of one file whatever its extension."""
+def open_folder(folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(path, bytes) of a folder's own source files, and its folders that are entered; links are neither."""
+    files, folders = [], []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return files, folders
+    for entry in entries:
+        try:
+            if entry.is_symlink():
+                continue
+            if entry.is_dir():
+                if entry.name not in SKIP_DIRS and not entry.name.startswith("."):
+                    folders.append(entry.path)
+            elif extension(entry.name) in SOURCE_EXTENSIONS and entry.is_file():
+                files.append((entry.path, entry.stat().st_size))
+        except OSError:
+            continue
+    return files, folders
+
+
+def walk(folders, most=None):
+    """(path, bytes) of the source files below folders; with ``most``, folders stay unopened from that number on: (files, folders)."""
+    waiting, found = deque(folders), []
+    while waiting and (most is None or len(waiting) < most):
+        files, below = open_folder(waiting.popleft())
+        found += files
+        waiting.extend(below)
+    return found if most is None else (found, list(waiting))
+
+
+def list_files(root: str, most=None):
+    """What ``walk`` finds below a folder, or one file whatever its extension."""
     root = os.fspath(root)
     if os.path.isfile(root):
-        return [(root, os.path.getsize(root))]
-    if os.path.basename(os.path.abspath(root)) in SKIP_DIRS:
-        return []
-    found = []
-    for folder, folders, files in os.walk(root, onerror=lambda e: None, followlinks=False):
-        folders[:] = sorted(d for d in folders if d not in SKIP_DIRS and not d.startswith(".") and not os.path.islink(os.path.join(folder, d)))
-        for name in sorted(files):
-            path = os.path.join(folder, name)
-            if extension(name) in SOURCE_EXTENSIONS and not os.path.islink(path):
-                try:
-                    found.append((path, os.path.getsize(path)))
-                except OSError:
-                    continue
-    return found
-
-
-class _Batch(InputPartition):
-    def __init__(self, files):
+        found = [(root, os.path.getsize(root))]
+        return found if most is None else (found, [])
+    start = [] if os.path.basename(os.path.abspath(root)) in SKIP_DIRS else [root]
+    return walk(start, most)
+
+
+class _Part(InputPartition):
+    def __init__(self, files=(), folders=()):
         super().__init__(None)
-        self.files = files
+        self.files, self.folders = files, folders
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.batch_bytes = options["path"], int(options.get("batchbytes", 16 << 20))
+        self.root, self.list_bytes = options["path"], int(options.get("batchbytes", LIST_BYTES))
+        self.most, self.folders = int(options.get("maxsize", -1)), int(options.get("folders", FOLDERS))
 
     def partitions(self):
-        """Batches of about equal bytes; an empty tree is one empty batch."""
-        out, batch, size = [], [], 0
-        for path, n in list_files(self.root):
+        """Lists of known files of about equal bytes, and folders that tasks walk; an empty tree is one empty list."""
+        files, folders = list_files(self.root, self.folders)
+        out, batch, size = [_Part(folders=[f]) for f in folders], [], 0
+        for path, n in files:
             batch.append((path, n))
             size += n + 4096
-            if size >= self.batch_bytes:
-                out.append(_Batch(batch))
+            if size >= self.list_bytes:
+                out.append(_Part(batch))
                 batch, size = [], 0
-        return [*out, _Batch(batch)] if batch or not out else out
+        return [*out, _Part(batch)] if batch or not out else out
 
     def read(self, partition):
-        for path, size in partition.files:
+        rows, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["path", "ext", "size", "content"])
+        for path, n in [*partition.files, *walk(partition.folders)]:
+            if 0 <= self.most < n:
+                continue  # not opened at all
             try:
                 with open(path, "rb") as f:
                     content = f.read().decode("utf-8")
             except (OSError, UnicodeDecodeError):
                 continue  # unreadable or not UTF-8: no row
-            yield path, extension(path), size, content
+            rows.append((path, extension(path), n, content))
+            size += n
+            if size >= BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 class SourceTree(DataSource):
@@ -103,10 +141,25 @@ class SourceTree(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark, root: str):
-    """The files of a tree (or one file) as ``path, ext, size, content``."""
+def read_tree(spark, root: str, max_size: int | None = None):
+    """The files of a tree (or one file) as ``path, ext, size, content``; larger ones than ``max_size`` are not opened."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").load(os.fspath(root))
+    return spark.read.format("source_tree").option("maxsize", -1 if max_size is None else max_size).load(os.fspath(root))
+
+
+def write_tree(rows, root: str) -> int:
+    """Write ``path`` (below ``root``) and ``content`` of each row as a file and return their number; tasks write to a path that all see."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = os.path.join(root, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def ext_of(path):
