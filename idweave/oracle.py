@@ -1,17 +1,43 @@
 """DuckDB SQL of the registered queries.
 
 RE2 has no look-around, so names are cut by chained replacements instead of one pattern; lambdas
-are written ``lambda x: ...``.
+are written ``lambda x: ...``.  The fixed values are stated here once more, so that the SQL does
+not follow a wrong one of the library; only the presets' table is the library's own.
 """
 
 from __future__ import annotations
 
-from .functions.names import CONVENTIONS, ROLE_WORDS, SHAPE_WORDS, SPELLINGS
-from .operators.extract import KEYWORDS
-from .operators.lint import CONTEXTS
 from .plans import presets
-from .queries import project_config
-from .sources.files import LANGUAGES, SKIP_DIRS, SOURCE_EXTENSIONS
+
+# Fixed values.
+CONVENTIONS = ("snake_case", "camelCase", "PascalCase", "kebab-case", "UPPER_SNAKE_CASE", "Ada_Case")
+SPELLINGS = {
+    "snake_case": "snake_case", "snake": "snake_case", "camelCase": "camelCase", "camel": "camelCase", "PascalCase": "PascalCase", "pascal": "PascalCase",
+    "kebab-case": "kebab-case", "kebab": "kebab-case", "UPPER_SNAKE_CASE": "UPPER_SNAKE_CASE", "upper_snake": "UPPER_SNAKE_CASE", "screaming": "UPPER_SNAKE_CASE",
+    "Ada_Case": "Ada_Case", "ada": "Ada_Case",
+}
+ROLE_WORDS = {
+    "factory": ("create", "make", "new", "build"), "hook": ("use",), "setter": ("set",), "getter": ("get",), "predicate": ("is", "has", "can", "should"),
+    "handler": ("on",), "validator": ("validate", "check", "verify"),
+}
+SHAPE_WORDS = {"array": ("a", "a1", "a2", "a3", "list", "array"), "record": ("r", "record"), "map": ("m", "map"), "set": ("set",)}
+KEYWORDS = (
+    "if", "else", "for", "while", "return", "fn", "func", "function", "def", "class", "struct", "enum", "impl", "use",
+    "import", "from", "let", "const", "var", "pub", "self", "this", "true", "false", "null", "none", "nil",
+)
+SOURCE_EXTENSIONS = (
+    "rs", "py", "ts", "js", "go", "java", "rb", "c", "cpp", "h", "hpp", "cs", "swift", "kt", "scala", "zig", "nim", "ex",
+    "exs", "erl", "hs", "ml", "clj", "r", "lua", "php", "pl", "d", "cr", "dart", "jl", "v", "odin", "gleam", "rkt", "scm",
+    "lisp", "lsp", "f", "fs", "fsi", "fsx", "sh", "bash", "zsh", "sql", "css", "tsx",
+)
+SKIP_DIRS = (".git", "node_modules", "target", "__pycache__", ".venv", "vendor")
+LANGUAGES = {
+    "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "c": "c", "h": "c",
+    "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "java": "java", "rb": "ruby", "php": "php", "cs": "csharp",
+    "swift": "swift", "kt": "kotlin", "kts": "kotlin",
+}
+#: (context, convention as given) of the lint queries' rules: the Rust preset's that lint reads, with the project's
+PROJECT_RULES = (("function", "snake_case"), ("variable", "snake_case"), ("type", "PascalCase"), ("constant", "UPPER_SNAKE_CASE"), ("field", "camel"))
 
 
 def _in(words):
@@ -95,11 +121,27 @@ def _found(source, run, pattern):
 found AS (SELECT file, line, unnest(regexp_extract_all(run, '{pattern}')) AS identifier FROM runs WHERE regexp_matches(run, '^[\\x00-\\x7F]*$'))"""
 
 
+#: byte columns of the matches: what stands before a run in its line, then before a match in its run
+_PLACED = r"""cut AS (SELECT file, line, unnest(range(1, len(runs) + 1)) AS i, unnest(runs) AS run, unnest(rest[1:len(runs)]) AS before
+  FROM (SELECT file, line, regexp_extract_all(text, '{run}') AS runs, string_split_regex(text, '{run}') AS rest FROM lines)),
+spots AS (SELECT *, sum(strlen(before) + strlen(run)) OVER (PARTITION BY file, line ORDER BY i) - strlen(run) AS start FROM cut),
+inner_cut AS (SELECT file, line, i, start, unnest(range(1, len(m) + 1)) AS j, unnest(m) AS identifier, unnest(rest[1:len(m)]) AS before
+  FROM (SELECT *, regexp_extract_all(run, '{plain}') AS m, string_split_regex(run, '{plain}') AS rest FROM spots WHERE regexp_matches(run, '^[\x00-\x7F]*$'))),
+placed AS (SELECT file, line, start + sum(strlen(before) + strlen(identifier)) OVER (PARTITION BY file, line, i ORDER BY j) - strlen(identifier) + 1 AS "column", identifier FROM inner_cut)"""
+
 _DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents"
 _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, html AS text FROM pages"
 _RUN = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}$]+"
 _PLAIN = r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b"
 _DOC = f"WITH {_found(_DOCUMENTS, _RUN, _PLAIN)}, kept AS (SELECT * FROM found WHERE strlen(identifier) > 1 AND identifier NOT IN {_in(KEYWORDS)})"
+#: Names with hyphens touch other characters in more ways: runs with characters beyond ASCII become two marks, one for each side.
+_HTML = f"""WITH lines AS (
+  SELECT file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text
+  FROM (SELECT file, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n\\z', ''), chr(10)) AS l FROM ({_PAGES}) WHERE text <> '')
+), marked AS (SELECT file, line, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]', ' ', 'g'), '[0-9A-Za-z_]*[^\\x00-\\x7F](?:[0-9A-Za-z_]|[^\\x00-\\x7F])*', chr(1) || chr(1), 'g') AS text FROM lines),
+found AS (SELECT file, line, replace(unnest(regexp_extract_all(text, '(?:\\b[a-zA-Z_]|\\x01[$]|\\b[$])[a-zA-Z0-9_$-]*(?:\\b|\\x01)')), chr(1), '') AS identifier FROM marked),
+kept AS (SELECT * FROM found WHERE strlen(identifier) > 1 AND identifier NOT IN {_in(KEYWORDS)}),
+c AS (SELECT *, {convention('identifier')} AS convention FROM kept), p AS (SELECT *, {tags('identifier', 'convention')} AS tags FROM c)"""
 _DOC_PARSED = f"{_DOC}, c AS (SELECT *, {convention('identifier')} AS convention FROM kept), p AS (SELECT *, {tags('identifier', 'convention')} AS tags FROM c)"
 
 _EDGES = "e AS (SELECT tags[i] AS src, tags[i + 1] AS dst FROM (SELECT tags, unnest(range(1, len(tags))) AS i FROM p)), edges AS (SELECT src, dst, count(*) AS weight FROM e GROUP BY ALL)"
@@ -108,8 +150,7 @@ _SUB = f"{PARSED}, {_NODES}, {_EDGES}, near AS (SELECT * FROM edges WHERE src IN
 
 
 def _rules():
-    contexts = project_config().contexts
-    rows = [(c, contexts[c].convention, SPELLINGS[contexts[c].convention]) for c in CONTEXTS if c in contexts and contexts[c].convention in SPELLINGS]
+    rows = [(c, given, SPELLINGS[given]) for c, given in PROJECT_RULES]
     return "r(context, expected, wanted) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows) + ")"
 
 
@@ -173,6 +214,13 @@ ORACLE_SQL = {
     "equivalence_groups": f"{PARSED} SELECT array_to_string(tags, '_') AS canonical, count(DISTINCT identifier) AS spellings, count(*) AS n FROM p GROUP BY 1",
     "extract_lines": f"{_DOC} SELECT file, CAST(line AS INT) AS line, text FROM lines",
     "extract_identifiers": f"{_DOC_PARSED} SELECT file, CAST(line AS INT) AS line, identifier, convention, array_to_string(tags, ' ') AS tags FROM p",
+    "extract_columns": f"{_DOC}, {_PLACED.format(run=_RUN, plain=_PLAIN)}"
+    f' SELECT file, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", identifier FROM placed WHERE strlen(identifier) > 1 AND identifier NOT IN {_in(KEYWORDS)}',
+    "extract_kebab": f"{_HTML} SELECT file, CAST(line AS INT) AS line, identifier, array_to_string(tags, ' ') AS tags FROM p",
+    "graph_kebab_pages": f"{_HTML}, {_EDGES} SELECT src, dst, weight FROM edges",
+    "scan_tree": f"""WITH {_PATHS}, t AS (SELECT path AS file, {_P} AS P, {_SNAKE} AS s FROM paths JOIN part USING (p_partkey) WHERE NOT regexp_matches(path, '(^|/)({'|'.join(SKIP_DIRS)}|[.][^/]+)/') AND {_EXT} IN {_in(SOURCE_EXTENSIONS)})
+SELECT file, 1 AS line, 7 AS "column", P AS identifier FROM t UNION ALL SELECT file, 2, 6, s FROM t
+UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL SELECT file, 2, CAST(strlen(s) + 16 AS INT), 'get' || P FROM t""",
     "keyword_filter": f"{_DOC} SELECT identifier, count(*) AS n FROM found WHERE strlen(identifier) <= 1 OR identifier IN {_in(KEYWORDS)} GROUP BY 1",
     "identifier_counts": f"{_DOC_PARSED} SELECT identifier, array_to_string(tags, '_') AS canonical, count(*) AS n FROM p GROUP BY 1, 2",
     "search_documents": f"{_DOC_PARSED} SELECT file, CAST(line AS INT) AS line, identifier FROM p WHERE list_contains(tags, 'with')",

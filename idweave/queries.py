@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import names, sql_functions
@@ -205,6 +208,15 @@ def detect_language(spark, sf_dir):
     return derived.path_table(spark, sf_dir).select("p_partkey", ext.alias("ext"), files.language_of(ext).alias("language"))
 
 
+def scan_tree(spark, sf_dir):
+    """Identifiers of a tree of source files that is written first, in the shared folder."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/").removeprefix("file://")
+    root = f"{folder}/tree-{uuid.uuid4().hex}"
+    files.write_tree(derived.tree_files(spark, sf_dir), root)
+    found = extract.extract_identifiers(files.read_tree(spark, root, extract.MAX_FILE_SIZE))
+    return found.select(F.expr(f"substring(file, {len(root) + 2})").alias("file"), "line", "column", "identifier")
+
+
 def classify_contexts(spark, sf_dir):
     return classify.classify(derived.source_files(spark, sf_dir)).select("file", "line", "column", "identifier", "context", "language")
 
@@ -251,7 +263,7 @@ def queries():
         detect_convention, parse_tags, canonical_key, namespaces, detect_role, detect_shape, forced_convention, alias_all_long, alias_map, prose,
         sql_surface, equivalence_groups, extract_lines, extract_identifiers, extract_columns, extract_kebab, keyword_filter, identifier_counts,
         search_documents, search_many, graph_nodes, graph_edges, graph_dot_lines, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
-        lint_violations, lint_suggested_fix, lint_lines, preset_violations, source_prune, detect_language, classify_contexts, extract_with_context,
+        lint_violations, lint_suggested_fix, lint_lines, preset_violations, source_prune, detect_language, scan_tree, classify_contexts, extract_with_context,
         lint_sources, extract_text_lines, parsed_json, stream_parse, stream_graph_edges, stream_windowed_tags,
     ]
     out = {f.__name__: f for f in own}

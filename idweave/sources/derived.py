@@ -68,6 +68,12 @@ def path_table(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATH).alias("path"))
 
 
+def tree_files(spark, sf_dir):
+    """A file for each part's path: two lines with its names."""
+    part = table(spark, sf_dir, "part").select(F.expr(_PATH).alias("path"), F.expr(f"array_join({_CAPITAL}, '')").alias("P"), F.expr(_SNAKE).alias("s"))
+    return part.select("path", F.concat(F.lit("class "), "P", F.lit("\nself "), "s", F.lit(" value1 = get"), "P", F.lit("\n")).alias("content"))
+
+
 #: language -> (extension, source text with marks for the Pascal, snake and camel name)
 SOURCES = {
     0: ("py", "class @P:\n    def @s(self, count: int):\n        value = 1\n"),
