@@ -181,19 +181,31 @@ _EXT = "regexp_extract(path, '\\.([^./]*)$', 1)"
 
 #: what syntax mode finds in the derived source files: (remainder of the key, line, column, name, context, language)
 _SYNTAX = [
-    (0, 1, 7, "P", "type", "python"), (0, 2, 9, "s", "function", "python"), (0, 2, "p_len + 16", "'count'", "parameter", "python"), (0, 3, 9, "'value'", "variable", "python"),
-    (1, 2, 12, "P", "type", "rust"), (1, 2, "p_len + 14", "'size'", "field", "rust"), (1, 3, 4, "s", "function", "rust"), (1, 3, "p_len + 5", "'total'", "parameter", "rust"),
-    (2, 2, 7, "P", "type", "javascript"), (2, 3, 10, "c", "function", "javascript"), (2, 3, "c_len + 11", "'first'", "parameter", "javascript"),
-    (3, 1, 6, "P", "type", "go"), (3, 2, 6, "c", "function", "go"), (3, 2, "c_len + 7", "'total'", "parameter", "go"), (3, 3, 7, "s", "constant", "go"),
+    (0, 1, 8, "s", "import", "python"), (0, 2, 7, "P", "type", "python"), (0, 3, 9, "s", "function", "python"), (0, 3, "s_len + 16", "'count'", "parameter", "python"), (0, 4, 9, "'value'", "variable", "python"),
+    (1, 2, "P_len + 8", "P", "import", "rust"), (1, 3, 12, "P", "type", "rust"), (1, 3, "P_len + 15", "'size'", "field", "rust"), (1, 4, 4, "s", "function", "rust"), (1, 4, "s_len + 5", "'total'", "parameter", "rust"),
+    (1, 4, "s_len + 23", "'value'", "variable", "rust"),
+    (2, 2, 7, "P", "type", "javascript"), (2, 3, 10, "c", "function", "javascript"), (2, 3, "c_len + 11", "'first'", "parameter", "javascript"), (2, 4, 10, "s", "import", "javascript"),
+    (3, 1, 6, "P", "type", "go"), (3, 2, 6, "c", "function", "go"), (3, 2, "c_len + 7", "'total'", "parameter", "go"), (3, 3, 7, "s", "constant", "go"), (3, 4, 8, "s", "import", "go"),
+    (5, 1, 1, "s || '.h'", "import", "c"), (5, 2, 5, "s", "function", "c"), (5, 2, "s_len + 10", "'total'", "parameter", "c"), (5, 3, 7, "'value'", "variable", "c"), (5, 5, 8, "P", "type", "c"), (5, 5, "P_len + 15", "'size'", "field", "c"),
+    (6, 2, 7, "s", "field", "cpp"), (6, 4, "P_len + 7", "c", "function", "cpp"), (6, 4, "P_len + c_len + 12", "'total'", "parameter", "cpp"),
+    (7, 1, 1, "P", "import", "java"), (7, 2, 7, "P", "type", "java"), (7, 3, 7, "c", "field", "java"), (7, 3, 7, "c", "variable", "java"), (7, 4, 8, "'run'", "function", "java"), (7, 4, 19, "'given'", "parameter", "java"),
+    (7, 4, 32, "'total'", "variable", "java"),
+    (8, 1, 1, "s", "import", "ruby"), (8, 2, 7, "P", "type", "ruby"), (8, 3, 7, "s", "function", "ruby"), (8, 3, "s_len + 8", "'count'", "parameter", "ruby"), (8, 4, 5, "'total'", "variable", "ruby"),
+    (9, 2, 5, "P", "import", "php"), (9, 3, 7, "P", "type", "php"), (9, 4, 12, "'size'", "field", "php"), (9, 5, 12, "c", "function", "php"), (9, 5, "c_len + 14", "'count'", "parameter", "php"),
+    (10, 1, 1, "P", "import", "csharp"), (10, 2, 7, "P", "type", "csharp"), (10, 3, 15, "c", "field", "csharp"), (10, 3, 15, "c", "variable", "csharp"), (10, 4, 8, "'Run'", "function", "csharp"), (10, 4, 19, "'given'", "parameter", "csharp"),
+    (11, 1, 1, "P", "import", "swift"), (11, 2, 7, "P", "type", "swift"), (11, 3, 7, "c", "constant", "swift"), (11, 4, 8, "'run'", "function", "swift"), (11, 4, 12, "'total'", "parameter", "swift"),
+    (12, 1, 1, "P", "import", "kotlin"), (12, 2, 7, "P", "type", "kotlin"), (12, 3, 7, "c", "variable", "kotlin"), (12, 4, 7, "'run'", "function", "kotlin"), (12, 4, 11, "'total'", "parameter", "kotlin"),
+    (13, 1, 10, "c", "import", "typescript"), (13, 2, 7, "P", "type", "typescript"), (13, 3, 10, "'run'", "function", "typescript"), (13, 3, 14, "'total'", "parameter", "typescript"),
+    (14, 1, 7, "c", "variable", "tsx"), (14, 2, 7, "P", "type", "tsx"),
 ]
-_SOURCES = f"src AS (SELECT p_partkey, {_P} AS P, {_SNAKE} AS s, 'get' || {_P} AS c, replace(p_name, ' ', '-') AS k FROM part), m AS (SELECT *, strlen(s) AS p_len, strlen(c) AS c_len FROM src)"
+_SOURCES = f"src AS (SELECT p_partkey, {_P} AS P, {_SNAKE} AS s, 'get' || {_P} AS c, replace(p_name, ' ', '-') AS k FROM part), m AS (SELECT *, strlen(s) AS s_len, strlen(c) AS c_len, strlen(P) AS P_len FROM src)"
 _SYNTAX_SQL = " UNION ALL ".join(
-    f"SELECT 'part_' || p_partkey AS file, {line} AS line, CAST({column} AS INT) AS column_, {name} AS identifier, '{context}' AS context, '{language}' AS language FROM m WHERE p_partkey % 5 = {k}"
+    f"SELECT 'part_' || p_partkey AS file, {line} AS line, CAST({column} AS INT) AS column_, {name} AS identifier, '{context}' AS context, '{language}' AS language FROM m WHERE p_partkey % 15 = {k}"
     for k, line, column, name, context, language in _SYNTAX
 ).replace("column_", '"column"')
 _TEXT_SQL = (
-    "SELECT 'part_' || p_partkey, 1, 2, k, NULL, NULL FROM m WHERE p_partkey % 5 = 4 UNION ALL SELECT 'part_' || p_partkey, 1, CAST(strlen(k) + 5 AS INT), 'color', NULL, NULL FROM m WHERE p_partkey % 5 = 4"
-    " UNION ALL SELECT 'part_' || p_partkey, 1, CAST(strlen(k) + 12 AS INT), 'red', NULL, NULL FROM m WHERE p_partkey % 5 = 4"
+    "SELECT 'part_' || p_partkey, 1, 2, k, NULL, NULL FROM m WHERE p_partkey % 15 = 4 UNION ALL SELECT 'part_' || p_partkey, 1, CAST(strlen(k) + 5 AS INT), 'color', NULL, NULL FROM m WHERE p_partkey % 15 = 4"
+    " UNION ALL SELECT 'part_' || p_partkey, 1, CAST(strlen(k) + 12 AS INT), 'red', NULL, NULL FROM m WHERE p_partkey % 15 = 4"
 )
 
 ORACLE_SQL = {

@@ -74,23 +74,33 @@ def tree_files(spark, sf_dir):
     return part.select("path", F.concat(F.lit("class "), "P", F.lit("\nself "), "s", F.lit(" value1 = get"), "P", F.lit("\n")).alias("content"))
 
 
-#: language -> (extension, source text with marks for the Pascal, snake and camel name)
+#: remainder of the key -> (extension, source text with marks for the Pascal, snake, camel and kebab name)
 SOURCES = {
-    0: ("py", "class @P:\n    def @s(self, count: int):\n        value = 1\n"),
-    1: ("rs", "// fn @s() {}\npub struct @P { size: u32 }\nfn @s(total: u32) {}\n"),
-    2: ("js", "/* class Gone */\nclass @P {}\nfunction @c(first) {}\n"),
-    3: ("go", "type @P struct {}\nfunc @c(total int) {}\nconst @s = 1\n"),
+    0: ("py", "import @s\nclass @P:\n    def @s(self, count: int):\n        value = 1\n"),
+    1: ("rs", "// fn @s() {}\nuse a::@P;\npub struct @P { size: u32 }\nfn @s(total: u32) { let value = 1; }\n"),
+    2: ("js", "/* class Gone */\nclass @P {}\nfunction @c(first) {}\nimport { @s } from 'a';\n"),
+    3: ("go", 'type @P struct {}\nfunc @c(total int) {}\nconst @s = 1\nimport "a/@s"\n'),
     4: ("css", ".@k { color: red }\n"),
+    5: ("c", "#include <@s.h>\nint @s(int total) {\n  int value = 1;\n}\nstruct @P { int size; };\n"),
+    6: ("cpp", "class @P {\n  int @s;\n};\nint @P::@c(int total) { return 1; }\n"),
+    7: ("java", "import a.@P;\nclass @P {\n  int @c;\n  void run(String given) { int total = 1; }\n}\n"),
+    8: ("rb", "require '@s'\nclass @P\n  def @s(count)\n    total = 1\n  end\nend\n"),
+    9: ("php", "<?php\nuse App\\@P;\nclass @P {\n  private $size;\n  function @c($count) {}\n}\n"),
+    10: ("cs", "using A.@P;\nclass @P {\n  private int @c;\n  void Run(string given) {}\n}\n"),
+    11: ("swift", "import @P\nclass @P {\n  let @c = 1\n  func run(total: Int) {}\n}\n"),
+    12: ("kt", "import a.@P\nclass @P {\n  val @c = 1\n  fun run(total: Int) {}\n}\n"),
+    13: ("ts", "import { @c } from 'a';\nclass @P {}\nfunction run(total: number): void {}\n"),
+    14: ("tsx", "const @c = 1;\nclass @P {}\n"),
 }
 
 
 def source_files(spark, sf_dir):
-    """A small source file for each part, in one of five languages."""
+    """A small source file for each part, in one of fifteen languages."""
     part = table(spark, sf_dir, "part").withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE), "k": F.expr("replace(p_name, ' ', '-')")})
     part = part.withColumn("c", F.concat(F.lit("get"), "P"))
     ext, text = F, F
     for key, (e, t) in SOURCES.items():
-        ext, text = ext.when(F.expr(f"p_partkey % 5 = {key}"), F.lit(e)), text.when(F.expr(f"p_partkey % 5 = {key}"), F.lit(t))
+        ext, text = ext.when(F.expr(f"p_partkey % {len(SOURCES)} = {key}"), F.lit(e)), text.when(F.expr(f"p_partkey % {len(SOURCES)} = {key}"), F.lit(t))
     for mark in "Psck":
         text = F.replace(text, F.lit("@" + mark), F.col(mark))
     part = part.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path"), ext.alias("ext"), text.alias("content"))

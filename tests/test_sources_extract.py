@@ -85,7 +85,7 @@ SAMPLES = {
     "go": ('import "net/http"\ntype Server struct {}\nconst maxSize = 1\nfunc handleUser(userId int) { total := 1 }\n', {("http", "import"), ("Server", "type"), ("maxSize", "constant"), ("handleUser", "function"), ("userId", "parameter")}),
     "c": ("#include <stdio.h>\nstruct user_data { int user_age; };\nint get_user(int user_id) {\n  int total = 1;\n  return total;\n}\n", {("stdio.h", "import"), ("user_data", "type"), ("get_user", "function"), ("user_id", "parameter"), ("total", "variable"), ("user_age", "field")}),
     "java": ("import java.util.List;\npublic class UserService {\n    private int userCount = 0;\n    public String getUser(String userId) {\n        int total = 1;\n        return null;\n    }\n}\n",
-             {("List", "import"), ("UserService", "type"), ("userCount", "field"), ("getUser", "function"), ("userId", "parameter"), ("total", "variable")}),
+             {("List", "import"), ("UserService", "type"), ("userCount", "field"), ("userCount", "variable"), ("getUser", "function"), ("userId", "parameter"), ("total", "variable")}),
     "rb": ("require 'net/http'\nclass UserService\n  MAX_SIZE = 1\n  def get_user(user_id)\n    @user_name = 1\n    total = 2\n  end\nend\n", {("http", "import"), ("UserService", "type"), ("MAX_SIZE", "constant"), ("get_user", "function"), ("user_id", "parameter"), ("user_name", "field"), ("total", "variable")}),
     "php": ("<?php\nuse App\\Models\\User;\nclass UserService {\n  const MAX_SIZE = 1;\n  private $userName;\n  function getUser($userId) { static $total = 1; }\n}\n", {("User", "import"), ("UserService", "type"), ("MAX_SIZE", "constant"), ("userName", "field"), ("getUser", "function"), ("userId", "parameter"), ("total", "variable")}),
     "cs": ("using System.Collections;\npublic class UserService {\n    private int userCount = 0;\n    public string GetUser(string userId) {\n        return null;\n    }\n}\n", {("Collections", "import"), ("UserService", "type"), ("userCount", "field"), ("userCount", "variable"), ("GetUser", "function"), ("userId", "parameter")}),
@@ -102,7 +102,47 @@ def test_contexts(ext):
     assert expected <= {(name, context) for _, _, name, context in found}
     assert "gone" not in {name for _, _, name, _ in found}
     lines = content.split("\n")
-    assert all(lines[line - 1].encode()[column - 1 :].startswith(name.encode()) for line, column, name, _ in found)
+    # imports of most languages are reported where their statement begins, Rust's where its path ends
+    place = lambda line, column: lines[line - 1].encode()[column - 1 :].decode()
+    for line, column, name, context in found:
+        if context != "import" or ext in ("py", "js", "ts", "tsx"):
+            assert place(line, column).startswith(name)
+        elif ext == "rs":
+            assert place(line, column).startswith(";")
+        elif ext != "go" and ext != "php":
+            assert place(line, column).split()[0] in ("import", "using", "require", "#include")
+
+
+def found_in(content, language):
+    return {(line, column, name, context) for line, column, name, context in classify.contexts_of(content, language)}
+
+
+def test_java_members():
+    content = (
+        "class Shop {\n    private int userCount = 0;\n    String ownName;\n    int getSize(int most) { int total = 1; return total; }\n    int after;\n}\n"
+        "interface Limits { int MAX_SIZE = 3; void run(String given); }\n"
+    )
+    assert found_in(content, "java") == {
+        (1, 7, "Shop", "type"), (2, 17, "userCount", "field"), (2, 17, "userCount", "variable"), (3, 12, "ownName", "field"), (3, 12, "ownName", "variable"),
+        (4, 9, "getSize", "function"), (4, 21, "most", "parameter"), (4, 33, "total", "variable"), (5, 9, "after", "field"), (5, 9, "after", "variable"),
+        (7, 11, "Limits", "type"), (7, 24, "MAX_SIZE", "constant"), (7, 24, "MAX_SIZE", "variable"), (7, 43, "run", "function"), (7, 54, "given", "parameter"),
+    }
+
+
+def test_cpp_and_tsx():
+    content = (
+        "#include <vector>\ntypedef unsigned long ulong_type;\ntypedef struct { int depth; } Point;\nclass Shape : public Base {\npublic:\n  virtual double area() const;\n"
+        "private:\n  int width = 0;\n  char label[10];\n};\nvoid Shape::resize(int factor, char *name) { int local = 1; }\nstruct Point origin;\n"
+    )
+    assert found_in(content, "cpp") == {
+        (1, 1, "vector", "import"), (2, 23, "ulong_type", "type"), (3, 22, "depth", "field"), (3, 31, "Point", "type"), (6, 18, "area() const", "field"), (8, 7, "width", "field"),
+        (9, 8, "label[10]", "field"), (11, 13, "resize", "function"), (11, 24, "factor", "parameter"), (11, 37, "*name", "parameter"), (11, 50, "local", "variable"), (12, 8, "Point", "type"),
+        (12, 14, "origin", "variable"),
+    }
+    content = "import { useState } from 'react';\nclass Panel {\n  render(props: Props) { return 1; }\n}\nfunction App(title: string): void { const size = 1; }\n"
+    assert found_in(content, "tsx") == {
+        (1, 10, "useState", "import"), (2, 7, "Panel", "type"), (3, 3, "render", "function"), (3, 10, "props", "parameter"), (5, 10, "App", "function"), (5, 14, "title", "parameter"), (5, 43, "size", "variable"),
+    }
 
 
 def test_syntax_mode_falls_back(spark):
