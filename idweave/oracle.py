@@ -149,12 +149,18 @@ _NODES = "nodes AS (SELECT DISTINCT unnest(tags) AS tag FROM p)"
 _SUB = f"{PARSED}, {_NODES}, {_EDGES}, near AS (SELECT * FROM edges WHERE src IN ('small', 'gear') OR dst IN ('small', 'gear')), kept AS (SELECT tag FROM nodes WHERE tag IN ('small', 'gear') UNION SELECT src FROM near UNION SELECT dst FROM near)"
 
 
-def _rules():
-    rows = [(c, given, SPELLINGS[given]) for c, given in PROJECT_RULES]
+#: rules of a project file that extends Java's preset and a team's file, and of a new Go project's file
+RESOLVED_RULES = (("variable", "camelCase"), ("type", "Ada_Case"), ("constant", "UPPER_SNAKE_CASE"), ("parameter", "snake"), ("field", "kebab"))
+GENERATED_RULES = (("function", "camelCase"), ("variable", "camelCase"), ("type", "PascalCase"), ("constant", "PascalCase"), ("parameter", "camelCase"))
+
+
+def _rules(rules=PROJECT_RULES):
+    rows = [(c, given, SPELLINGS[given]) for c, given in rules]
     return "r(context, expected, wanted) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows) + ")"
 
 
-_LINT = f"{PARSED}, {_rules()}, v AS (SELECT p.*, r.expected, r.wanted FROM p JOIN r USING (context) WHERE p.convention <> r.wanted)"
+_FOUND = ", v AS (SELECT p.*, r.expected, r.wanted FROM p JOIN r USING (context) WHERE p.convention <> r.wanted)"
+_LINT = f"{PARSED}, {_rules()}{_FOUND}"
 
 _PROSE = f"""{PARSED}, w AS (SELECT *, role IS NOT NULL AND coalesce(tags[1] IN {_in(w for ws in ROLE_WORDS.values() for w in ws)}, false) AS has_word FROM p),
 x AS (SELECT *, CASE WHEN has_word THEN tags[2:] ELSE tags END AS c0 FROM w),
@@ -246,6 +252,9 @@ UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL
     "graph_subgraph_nodes": f"{_SUB} SELECT tag FROM kept",
     "graph_subgraph_edges": f"{_SUB} SELECT src, dst, weight FROM edges WHERE src IN (SELECT tag FROM kept) AND dst IN (SELECT tag FROM kept)",
     "lint_violations": f"{_LINT} SELECT file, line, identifier, expected AS expected_convention, convention AS actual_convention FROM v",
+    "lint_resolved_config": f"{PARSED}, {_rules(RESOLVED_RULES)}{_FOUND} SELECT file, line, identifier, expected AS expected_convention, {joined('tags', 'wanted')} AS suggested_fix FROM v",
+    "lint_generated_config": f"{PARSED}, {_rules(GENERATED_RULES)}{_FOUND} SELECT file, line, identifier, expected AS expected_convention, {joined('tags', 'wanted')} AS suggested_fix FROM v",
+    "graph_json_edges": f"{PARSED}, {_EDGES} SELECT CAST(to_json({{'from': src, 'to': dst, 'weight': weight}}) AS VARCHAR) AS json FROM edges",
     "lint_suggested_fix": f"{_LINT} SELECT file, line, identifier, {joined('tags', 'wanted')} AS suggested_fix FROM v",
     "lint_lines": f"{_LINT} SELECT file || ':' || line || ':1 warning: ' || CASE expected WHEN 'PascalCase' THEN 'type' WHEN 'UPPER_SNAKE_CASE' THEN 'constant' ELSE 'identifier' END"
     f" || ' `' || identifier || '` should be ' || expected || ' → `' || {joined('tags', 'wanted')} || '`' AS text FROM v",

@@ -45,6 +45,11 @@ def parsed_json(identifiers):
     return F.to_json(parsed, {"ignoreNullFields": "false"})
 
 
+def edge_json(edges):
+    """JSON of each edge, as a graph's JSON text holds it."""
+    return edges.select("src", "dst", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight")).alias("json"))
+
+
 def parse_text(row) -> str:
     """The listing of one parsed name."""
     out = [f"name:       {row['identifier']}", f"convention: {row['convention']}", f"tags:       [{', '.join(row['tags'])}]"]

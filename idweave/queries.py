@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -162,6 +163,10 @@ def graph_dot_lines(spark, sf_dir):
     return graph.dot_lines(graph_edges(spark, sf_dir)).select("dot")
 
 
+def graph_json_edges(spark, sf_dir):
+    return render.edge_json(graph_edges(spark, sf_dir)).select("json")
+
+
 def _subgraph(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     return graph.subgraph(graph.tag_nodes(parsed), graph.tag_edges(parsed), "smallGear")
@@ -191,6 +196,37 @@ def lint_lines(spark, sf_dir):
     return render.lint_lines(_violations(spark, sf_dir)).select("text")
 
 
+#: Files of a project: what the nearest one extends is merged left to right, then its own values.
+PROJECT_FILES = {
+    ".naming.toml": 'version = 1\nname = "shop"\nextends = ["java", "team.toml"]\n[contexts.type]\nconvention = "Ada_Case"\n[contexts.import]\nconvention = "lowercase"\n',
+    "team.toml": 'version = 1\nname = "team"\nextends = ["rust"]\n[contexts.field]\nconvention = "kebab"\n[contexts.parameter]\nconvention = "snake"\n',
+    "src/main/readme.txt": "",
+}
+
+
+def _rules_of_files(spark, texts):
+    """The rules that hold for src/main in a project of these files."""
+    with tempfile.TemporaryDirectory() as folder:
+        for name, text in texts.items():
+            path = os.path.join(folder, name)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as f:
+                f.write(text)
+        return lint.rules_frame(spark, config.resolve(config.find(os.path.join(folder, "src/main"))))
+
+
+def lint_resolved_config(spark, sf_dir):
+    """Violations of a configuration file that extends a language and another file."""
+    found = lint.lint(_parsed(spark, sf_dir), _rules_of_files(spark, PROJECT_FILES))
+    return found.select("file", "line", "identifier", "expected_convention", "suggested_fix")
+
+
+def lint_generated_config(spark, sf_dir):
+    """Violations of a new configuration file as it is generated for a language."""
+    found = lint.lint(_parsed(spark, sf_dir), _rules_of_files(spark, {".naming.toml": config.generate("go"), "src/main/x": ""}))
+    return found.select("file", "line", "identifier", "expected_convention", "suggested_fix")
+
+
 def preset_violations(spark, sf_dir):
     """Violations of every built-in preset's rules over all derived names."""
     rules = presets.presets_frame(spark).select("preset", "context", "convention").withColumnRenamed("convention", "wanted")
@@ -262,8 +298,8 @@ def queries():
     own = [
         detect_convention, parse_tags, canonical_key, namespaces, detect_role, detect_shape, forced_convention, alias_all_long, alias_map, prose,
         sql_surface, equivalence_groups, extract_lines, extract_identifiers, extract_columns, extract_kebab, keyword_filter, identifier_counts,
-        search_documents, search_many, graph_nodes, graph_edges, graph_dot_lines, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
-        lint_violations, lint_suggested_fix, lint_lines, preset_violations, source_prune, detect_language, scan_tree, classify_contexts, extract_with_context,
+        search_documents, search_many, graph_nodes, graph_edges, graph_dot_lines, graph_json_edges, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
+        lint_violations, lint_suggested_fix, lint_lines, lint_resolved_config, lint_generated_config, preset_violations, source_prune, detect_language, scan_tree, classify_contexts, extract_with_context,
         lint_sources, extract_text_lines, parsed_json, stream_parse, stream_graph_edges, stream_windowed_tags,
     ]
     out = {f.__name__: f for f in own}
