@@ -30,7 +30,7 @@ from .common import table
 N, BINS, BITS = 5, 128, 8
 #: Rows of a range on average, ranges at most (beyond RANGE_ROWS * MOST_RANGES rows they grow, and Spark's window spills),
 #: and sampled rows for each range: the bounds come from MOST_RANGES * SAMPLED rows of two numbers at most.
-RANGE_ROWS, MOST_RANGES, SAMPLED = 1024, 1 << 16, 16
+RANGE_ROWS, MOST_RANGES, SAMPLED = 512, 1 << 17, 16
 
 #: bits below a bin's number in a hash without its sign
 _LOW = 63 - (BINS.bit_length() - 1)

@@ -296,16 +296,51 @@ def test_packing_places_every_piece_once():
     assert packing.pack([16384, 1]) == ([(0, 0), (1, 0)], [16384, 2048])
 
 
+def pack_by_hand(lengths, sizes):
+    """The method stated plainly: decreasing pieces, the fullest fit, else the size of least cost for what is left to put in."""
+    left, room, used, where = sorted(lengths, reverse=True), [], [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        left.remove(lengths[i])
+        fits = [(room[b], b) for b in range(len(room)) if room[b] >= lengths[i]]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for size in sizes:
+                if size >= lengths[i]:
+                    free = size - lengths[i]
+                    for n in left:
+                        free -= n if n <= free else 0
+                    costs.append(((packing.OVERHEAD + size + size * size / packing.ATTENTION) / (size - free), -size))
+            b = len(room)
+            room.append(-min(costs)[1])
+            used.append(0)
+        where[i] = (b, used[b])
+        used[b] += lengths[i]
+        room[b] -= lengths[i]
+    return where, [min(s for s in sizes if s >= u) for u in used]
+
+
+def test_packing_against_the_method_by_hand():
+    rng = np.random.default_rng(5)
+    for most in (3000, 16384):
+        for n in (0, 1, 7, 60, 150):
+            lengths = rng.integers(1, most + 1, n).tolist()
+            assert packing.pack(lengths) == pack_by_hand(lengths, packing.SIZES)
+    assert packing.pack([5] * 30, (7, 11, 20)) == pack_by_hand([5] * 30, (7, 11, 20))
+
+
 def test_packing_against_all_partitions():
-    """Close to the best of all ways to pack few pieces."""
-    sizes, rng = (4, 8, 16), np.random.default_rng(1)
+    """Close to the least cost of all ways to pack few pieces."""
+    sizes, rng = packing.SIZES, np.random.default_rng(1)
+    cost = lambda sizes: sum(packing.OVERHEAD + s + s * s / packing.ATTENTION for s in sizes)
 
     def least(items):
         best = [float("inf")]
 
         def go(k, bins):
             if k == len(items):
-                best[0] = min(best[0], sum(min(s for s in sizes if s >= b) for b in bins))
+                best[0] = min(best[0], cost([min(s for s in sizes if s >= b) for b in bins]))
                 return
             for i in range(len(bins)):
                 if bins[i] + items[k] <= sizes[-1]:
@@ -315,9 +350,17 @@ def test_packing_against_all_partitions():
         go(0, [])
         return best[0]
 
-    for _ in range(15):
-        items = rng.integers(1, 17, 6).tolist()
-        assert sum(packing.pack(items, sizes)[1]) <= 1.5 * least(items)
+    ratios = []
+    for _ in range(40):
+        items = rng.integers(1, sizes[-1] // 2, 6).tolist()
+        ratios.append(cost(packing.pack(items, sizes)[1]) / least(items))
+    assert np.mean(ratios) < 1.08 and max(ratios) < 1.35
+
+
+def test_null_ids_spread_over_shards(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'the same text' as text")
+    shards = packing.pack_texts(docs, shard_rows=500).selectExpr("split(bin_id, '-')[0] as s").groupBy("s").count().collect()
+    assert len(shards) == 8 and max(r["count"] for r in shards) < 700
 
 
 def test_packing_rows(make, edges):
