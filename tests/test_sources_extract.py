@@ -76,6 +76,30 @@ def test_nulls_and_empty_tables(spark):
     assert extract.extract_identifiers(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("folders", [1, 2, 5, 1000])
+def test_tasks_walk_what_the_driver_leaves(spark, tmp_path, folders):
+    r = random.Random(folders)
+    wanted = {}
+    for k in range(60):
+        below = [r.choice(["a", "b", "_c", ".hidden", "target", "d.e"]) for _ in range(r.randint(0, 4))]
+        path = tmp_path.joinpath("root", *below, f"f{k}.{r.choice(['py', 'rs', 'md'])}")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * k)
+        if path.suffix != ".md" and not {".hidden", "target"} & set(below):
+            wanted[str(path)] = k
+    spark.dataSource.register(files.SourceTree)
+    read = spark.read.format("source_tree").option("folders", folders)
+    assert {x.path: x.size for x in read.load(str(tmp_path / "root")).collect()} == wanted
+    assert {x.path for x in read.option("maxsize", 30).load(str(tmp_path / "root")).collect()} == {p for p, n in wanted.items() if n <= 30}
+    assert read.load(str(tmp_path / "root" / "none")).count() == 0
+
+
+def test_written_trees_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.py", "one\r\ntwo"), ("c.rs", "é")], "path string, content string")
+    assert files.write_tree(rows, str(tmp_path / "t")) == 2
+    assert {(x.path, x.content) for x in files.read_tree(spark, str(tmp_path / "t")).select("path", "content").collect()} == {(f"{tmp_path}/t/a/b.py", "one\r\ntwo"), (f"{tmp_path}/t/c.rs", "é")}
+
+
 SAMPLES = {
     "rs": ("struct UserProfile { user_id: u32 }\nenum ConnectionState { Open }\nconst MAX_RETRIES: u32 = 3;\nuse std::collections::HashMap;\nfn create_user(person_name: String) { let total = 1; }\n",
            {("UserProfile", "type"), ("ConnectionState", "type"), ("MAX_RETRIES", "constant"), ("HashMap", "import"), ("create_user", "function"), ("person_name", "parameter"), ("total", "variable"), ("user_id", "field")}),
