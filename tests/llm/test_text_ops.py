@@ -278,6 +278,31 @@ def test_sample_is_counted_in_tasks(spark, make, monkeypatch):
     assert len(seen) > 5 and all(sum(map(len, r[1:])) <= 6 * 4096 for r in seen)
 
 
+def test_projection_against_plain_counts():
+    r = random.Random(13)
+    texts = ["", "one", "it it it it", *(" ".join(r.choice(["alpha", "Beta", "7", "x,", "é"]) for _ in range(r.randint(1, 60))) + r.choice(["", "\n$$ %"]) for _ in range(20))]
+    counts = lambda t: dict(zip(*[x.tolist() for x in quality_classifier.term_counts(*common.utf8_view(pa.array([t]))[:2])[1:]]))
+    own_bucket = lambda w: next(b for b in counts(w) if 0 < b < quality_classifier.WORD_BUCKETS)
+    rng = np.random.default_rng(2)
+    weights, basis = rng.random(quality_classifier._BUCKETS).astype(np.float32), rng.normal(size=(quality_classifier._BUCKETS, 5)).astype(np.float32)
+    got = quality_classifier.project(pa.array(texts), weights, basis)
+    for t, vector in zip(texts, got):
+        words, raw, found = re.findall("[^\x20\x09-\x0D]+", t), t.encode(), collections.Counter()
+        for a, b in zip([None, *words], words):
+            found[own_bucket(b)] += 1
+            found[0] += a == b
+        for k in range(len(raw) - 3):
+            code = 0
+            for byte in raw[k : k + 4]:
+                code = code * 8 + int(quality_classifier._SHAPE[byte])
+            found[quality_classifier.WORD_BUCKETS + code % quality_classifier.SHAPE_BUCKETS] += 1
+        dense = np.zeros(quality_classifier._BUCKETS)
+        for b, n in found.items():
+            dense[b] = np.log1p(n / max(len(raw), 200) * 1000)
+        wanted = (dense * weights) @ basis
+        assert np.allclose(vector, wanted / max(np.linalg.norm(wanted), 1e-9), atol=1e-4)
+
+
 def test_equal_texts_have_equal_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = common.unpacked(quality_classifier.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))

@@ -87,6 +87,11 @@ def test_tasks_walk_what_the_driver_leaves(spark, tmp_path, folders):
         path.write_text("x" * k)
         if path.suffix != ".md" and not {".hidden", "target"} & set(below):
             wanted[str(path)] = k
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "linked.py").write_text("x")
+    (tmp_path / "root" / "link.py").symlink_to(tmp_path / "other" / "linked.py")
+    (tmp_path / "root" / "link").symlink_to(tmp_path / "other")
+    (tmp_path / "root" / "broken.py").write_bytes(b"\xff")
     spark.dataSource.register(files.SourceTree)
     read = spark.read.format("source_tree").option("folders", folders)
     assert {x.path: x.size for x in read.load(str(tmp_path / "root")).collect()} == wanted
