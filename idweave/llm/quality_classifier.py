@@ -6,11 +6,15 @@ labelled texts' unit vectors are broadcast (their number is bounded), the cosine
 document with all of them are computed exactly in blocks, and the nearest ones vote with
 weights that grow with their similarity.
 
+All products are taken in fixed point: factors are multiples of a power of two in float64 and
+sums stay below 2**53 of their steps, so they are exact in any order.  A score depends neither on a row's place in its
+block nor on the linear algebra library, its kernel or its threads.
+
 Defined results: a null or empty text has the zero vector and scores the share of good labels.
 Rows are scored one by one; repeated rows repeat, an empty table gives none.  Without labels all
 scores are 0.5.  Rows with several labels count with the least of them.  Ties between equally
-near neighbours (cosines that agree to six places) go to the lower position in the sample, and
-products are taken over blocks of one shape, so that equal texts have equal scores wherever they stand.
+near neighbours go to the lower position in the sample (ids in the order of their text form).
+Equal texts have equal scores wherever they stand.  Ids may have any type that casts to a string.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ WORD_BUCKETS, SHAPE_BUCKETS, DIM = 3072, 1024, 48
 SAMPLE = 1500
 #: Neighbours that vote, and how steeply their weight grows with the cosine.
 NEIGHBOURS, STEEP = 15, 12.0
-#: Rows scored at a time; smaller blocks are filled up with zeros.
+#: Rows scored at a time.
 BLOCK = 128
+#: Bits after the point of weighted counts (below 2**6), of the basis (at most 1), of unit vectors and of votes.
+#: Sums over 2**12 buckets stay below 2**49, those over 2**7 dimensions below 2**53.
+COUNT_BITS, BASIS_BITS, UNIT_BITS, VOTE_BITS = 12, 19, 15, 40
 
 _BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 
@@ -63,31 +70,39 @@ def term_counts(data, offsets):
     return used // _BUCKETS, used % _BUCKETS, times
 
 
-def _full(x):
-    """``x`` with rows of zeros up to BLOCK: a product then does not depend on how many rows stand beside one."""
-    out = np.zeros((BLOCK, x.shape[1]), np.float32)
-    out[: len(x)] = x
-    return out
+def _fixed(x, bits):
+    """``x`` in steps of 2**-bits, in float64."""
+    return np.rint(np.asarray(x, np.float64) * float(1 << bits)) / float(1 << bits)
 
 
 def _dense(n, row, bucket, times, length):
     """Logarithms of counts for each thousand bytes: rows of any length compare."""
-    out = np.zeros((n, _BUCKETS), np.float32)
+    out = np.zeros((n, _BUCKETS))
     rate = times / np.maximum(length[row], 200) * 1000.0
     out[row, bucket] = np.log1p(rate)
     return out
 
 
+def _latent(counts, weights, basis):
+    """Unit vectors of dense counts, in steps of 2**-UNIT_BITS; zeros stay zeros."""
+    latent = _fixed(counts * weights, COUNT_BITS) @ basis
+    largest = np.abs(latent).max(axis=1, keepdims=True)
+    scaled = _fixed(latent / np.where(largest > 0, largest, 1.0), 20)
+    norm = np.sqrt(np.square(scaled).sum(axis=1, keepdims=True))
+    return _fixed(scaled / np.where(norm > 0, norm, 1.0), UNIT_BITS)
+
+
 def project(texts, weights, basis):
     """Unit latent vectors of an Arrow string column; zeros for empty texts."""
-    out = np.zeros((len(texts), basis.shape[1]), np.float32)
+    basis = _fixed(basis, BASIS_BITS)
+    out = np.zeros((len(texts), basis.shape[1]))
     for i, data, offsets in text_chunks(texts, 1 << 19):
         for a in range(0, len(offsets) - 1, BLOCK):
             own = offsets[a : a + BLOCK + 1]
             part, at = data[own[0] : own[-1]], own - own[0]
-            x = _dense(BLOCK, *term_counts(part, at), np.concatenate([np.diff(at), np.zeros(BLOCK + 1 - len(at), np.int64)])) * weights
-            out[i + a : i + a + len(at) - 1] = (x @ basis)[: len(at) - 1]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+            counts = _dense(len(at) - 1, *term_counts(part, at), np.diff(at))
+            out[i + a : i + a + len(at) - 1] = _latent(counts, weights, basis)
+    return out
 
 
 def _counted(batches):
@@ -105,23 +120,22 @@ def _counted(batches):
 
 def fit_vectors(counted, labels):
     """Model arrays from a bounded list of term counts (length, buckets, times) with labels."""
-    rows = np.zeros((len(counted), _BUCKETS), np.float32)
+    counts = np.zeros((len(counted), _BUCKETS))
     for i, (length, buckets, times) in enumerate(counted):
         bucket = np.frombuffer(buckets, np.int16).astype(np.int64)
-        rows[i] = _dense(1, np.zeros(len(bucket), np.int64), bucket, np.frombuffer(times, np.int32), np.array([length]))
-    seen = (rows > 0).sum(0)
-    weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32)
+        counts[i] = _dense(1, np.zeros(len(bucket), np.int64), bucket, np.frombuffer(times, np.int32), np.array([length]))
+    seen = (counts > 0).sum(0)
+    weights = np.log((1 + len(counts)) / (1 + seen))
     weights[seen < 3] = 0
-    rows *= weights
+    rows = (counts * weights).astype(np.float32)
     # truncated decomposition by power iteration on a random start
     rng = np.random.default_rng(11)
     rank = min(DIM, *rows.shape)
     basis = np.linalg.qr(rng.normal(size=(_BUCKETS, rank)).astype(np.float32))[0]
     for _ in range(6):
         basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
-    vectors = rows @ basis
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return {"weights": weights, "basis": basis, "vectors": vectors.astype(np.float32), "labels": np.asarray(labels, np.float32)}
+    basis = _fixed(basis, BASIS_BITS)
+    return {"weights": weights, "basis": basis, "vectors": _latent(counts, weights, basis), "labels": np.asarray(labels, np.float64)}
 
 
 def vote(vectors, model):
@@ -134,12 +148,12 @@ def vote(vectors, model):
     balance = np.where(labels > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9))
     place = np.arange(len(known))
     for i in range(0, len(vectors), BLOCK):
-        own = vectors[i : i + BLOCK]
-        # the rounded cosine and the place in one number: no two are equal
-        cosine = np.rint((_full(own) @ known.T)[: len(own)].astype(np.float64) * 1e6).astype(np.int64)
+        # the cosine and the place in one number: no two are equal
+        cosine = ((vectors[i : i + BLOCK] @ known.T) * float(1 << 2 * UNIT_BITS)).astype(np.int64)
         near = np.argpartition(place - cosine * len(known), k - 1, axis=1)[:, :k]
         near.sort(axis=1)
-        weight = np.exp(STEEP * (np.take_along_axis(cosine, near, 1) / 1e6 - 1)) * balance[near]
+        weight = np.exp(STEEP * (np.take_along_axis(cosine, near, 1) / float(1 << 2 * UNIT_BITS) - 1))
+        weight = _fixed(weight * np.minimum(balance[near], 1 << 8), VOTE_BITS) + 2.0**-VOTE_BITS
         out[i : i + BLOCK] = (weight * labels[near]).sum(1) / weight.sum(1)
     empty = ~vectors.any(axis=1)
     out[empty] = good
@@ -154,20 +168,20 @@ def held_out(id_col="doc_id"):
 def fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality", bound=SAMPLE):
     """The packed model, learned from the ``bound`` rows of each label that are least by hash; None without any."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).alias("y"))
+    known = known.groupBy(F.col(id_col).cast("string").alias("i")).agg(F.min(label_col).alias("y"))
     picked = []
     for y in (0, 1):
         picked += known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(bound).collect()
     if not picked:
         return None
     spark = docs.sparkSession
-    # 2 * bound rows of two numbers: the size of this side does not depend on the data
-    ids = F.broadcast(spark.createDataFrame([(r.i, r.y) for r in picked], "i long, y int"))
+    # 2 * bound rows of an id and a number: the size of this side does not depend on the data
+    ids = F.broadcast(spark.createDataFrame([(r.i, r.y) for r in picked], "i string, y int"))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(ids, "i")
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).join(ids, "i")
     found = rows.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t")).select("i", "y", "t")
     # texts are counted in tasks: what the driver collects is bounded in bytes too, at 2 * bound rows of 25 KB
-    found = found.mapInArrow(_counted, "i long, y int, length long, buckets binary, times binary").collect()
+    found = found.mapInArrow(_counted, "i string, y int, length long, buckets binary, times binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: r.i)
