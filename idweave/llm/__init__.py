@@ -20,6 +20,9 @@ QUERIES = {
     "op8_jaccard_join": ("jaccard_join", "query"),
     "op9_quality_rules": ("quality_rules", "query"),
     "op10_url_filters": ("url_filters", "query"),
+    "op11_conversation_repair": ("conversation_repair", "query"),
+    "op12_secret_scan": ("secret_scan", "query"),
+    "op13_spelling_variants": ("spelling_variants", "query"),
 }
 
 
