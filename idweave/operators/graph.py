@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .search import query_tags
 
 
@@ -22,7 +23,12 @@ def tag_edges(identifiers):
 
 
 def subgraph(nodes, edges, query: str):
-    """(nodes, edges) of the query's tags and their direct neighbours, with all edges among those."""
+    """(nodes, edges) of the query's tags and their direct neighbours, with all edges among those.
+
+    Nodes and edges, which are few beside the names, are stored once: they are read several times here.
+    """
+    spark = edges.sparkSession
+    nodes, edges = stored(spark, nodes, "nodes"), stored(spark, edges, "edges")
     wanted = query_tags(query)
     seeds = nodes.filter(F.expr(f"array_contains({wanted}, tag)"))
     near = edges.filter(F.expr(f"array_contains({wanted}, src) OR array_contains({wanted}, dst)"))

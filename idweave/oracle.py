@@ -153,6 +153,37 @@ _SUB = f"{PARSED}, {_NODES}, {_EDGES}, near AS (SELECT * FROM edges WHERE src IN
 RESOLVED_RULES = (("variable", "camelCase"), ("type", "Ada_Case"), ("constant", "UPPER_SNAKE_CASE"), ("parameter", "snake"), ("field", "kebab"))
 GENERATED_RULES = (("function", "camelCase"), ("variable", "camelCase"), ("type", "PascalCase"), ("constant", "PascalCase"), ("parameter", "camelCase"))
 
+#: (folder of files, context, convention as given, prefix, suffix) that the nearest configuration alone gives, and all above it merged
+_RUST = (("function", "snake_case"), ("variable", "snake_case"), ("type", "PascalCase"), ("constant", "UPPER_SNAKE_CASE"))
+_REPO = (*_RUST, ("field", "kebab"), ("import", "screaming"))
+NEAREST_RULES = [("repo/lib", *r) for r in _REPO] + [("repo/src", "function", "PascalCase")] + [(f, "type", "Ada_Case") for f in ("repo/src/api", "repo/src/api/v2/deep")]
+_SRC = tuple((c, "PascalCase" if c == "function" else v) for c, v in _REPO if c != "import")
+_API = tuple((c, "Ada_Case" if c == "type" else v) for c, v in _SRC)
+MERGED_RULES = [("repo/lib", *r) for r in _REPO] + [("repo/src", *r) for r in _SRC] + [(f, *r) for f in ("repo/src/api", "repo/src/api/v2/deep") for r in _API]
+_PLACED_NAMES = "placed AS (SELECT * REPLACE (['repo/src/api', 'repo/src', 'repo/lib', 'elsewhere', 'repo/src/api/v2/deep'][CAST(line % 5 AS INT) + 1] || '/' || file AS file), ['repo/src/api', 'repo/src', 'repo/lib', 'elsewhere', 'repo/src/api/v2/deep'][CAST(line % 5 AS INT) + 1] AS own FROM p)"
+
+
+def _lint_folders(rules):
+    rows = ", ".join(f"('{f}', '{c}', '{v}', '{SPELLINGS[v]}')" for f, c, v in rules)
+    return (
+        f"{PARSED}, {_PLACED_NAMES}, r(own, context, expected, wanted) AS (VALUES {rows})"
+        f" SELECT file, line, identifier, expected AS expected_convention, {joined('tags', 'wanted')} AS suggested_fix FROM placed JOIN r USING (own, context) WHERE convention <> wanted"
+    )
+
+
+#: merged rules of each folder, with the names that can't be spelled and with affixes
+_MERGED_ROWS = [(f, c, v, None, None) for f, c, v in MERGED_RULES] + [(f, "import", "lowercase", None, None) for f in ("repo/src", "repo/src/api", "repo/src/api/v2/deep")]
+_MERGED_ROWS = [(f, c, v, "do" if c == "function" and f != "repo/lib" else None, "Fn" if c == "function" and "api" in f else None) for f, c, v, _, _ in _MERGED_ROWS]
+_HOME = {"repo/lib": "repo", "repo/src": "repo/src", "repo/src/api": "repo/src/api", "repo/src/api/v2/deep": "repo/src/api"}
+_MERGED_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (f, _HOME[f], c, v, p, x_)) + ")" for f, c, v, p, x_ in _MERGED_ROWS)
+
+#: every eleventh event comes two deliveries late; the watermark of a delivery's rows is known from those before the last one
+_LATE = """WITH d AS (SELECT ts, event_type, least(least((day(ts) - 1) // 8, 3) + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END, 3) AS delivery FROM events),
+m AS (SELECT delivery, max(ts) AS latest FROM d GROUP BY 1),
+w AS (SELECT k.delivery, (SELECT max(latest) FROM m WHERE m.delivery < k.delivery - 1) - INTERVAL 36 HOUR AS mark FROM m k),
+kept AS (SELECT date_trunc('hour', ts) AS start, unnest(string_split('on_' || event_type, '_')) AS tag FROM d JOIN w USING (delivery) WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, tag, count(*) AS n FROM kept WHERE tag <> '' AND start + INTERVAL 1 HOUR <= (SELECT max(latest) FROM m) - INTERVAL 36 HOUR GROUP BY ALL"""
+
 
 def _rules(rules=PROJECT_RULES):
     rows = [(c, given, SPELLINGS[given]) for c, given in rules]
@@ -185,6 +216,12 @@ _PATHS = (
 )
 _EXT = "regexp_extract(path, '\\.([^./]*)$', 1)"
 
+#: content and size of the files of the written tree
+_TREE = (
+    f"t AS (SELECT path, p_partkey, 'class ' || {_P} || chr(10) || 'self ' || {_SNAKE} || ' value1 = get' || {_P} || chr(10) AS content FROM paths JOIN part USING (p_partkey)"
+    f" WHERE NOT regexp_matches(path, '(^|/)({'|'.join(SKIP_DIRS)}|[.][^/]+)/') AND {_EXT} IN {_in(SOURCE_EXTENSIONS)})"
+)
+
 #: what syntax mode finds in the derived source files: (remainder of the key, line, column, name, context, language)
 _SYNTAX = [
     (0, 1, 8, "s", "import", "python"), (0, 2, 7, "P", "type", "python"), (0, 3, 9, "s", "function", "python"), (0, 3, "s_len + 16", "'count'", "parameter", "python"), (0, 4, 9, "'value'", "variable", "python"),
@@ -239,20 +276,34 @@ ORACLE_SQL = {
     "scan_tree": f"""WITH {_PATHS}, t AS (SELECT path AS file, {_P} AS P, {_SNAKE} AS s FROM paths JOIN part USING (p_partkey) WHERE NOT regexp_matches(path, '(^|/)({'|'.join(SKIP_DIRS)}|[.][^/]+)/') AND {_EXT} IN {_in(SOURCE_EXTENSIONS)})
 SELECT file, 1 AS line, 7 AS "column", P AS identifier FROM t UNION ALL SELECT file, 2, 6, s FROM t
 UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL SELECT file, 2, CAST(strlen(s) + 16 AS INT), 'get' || P FROM t""",
+    "stream_tree": f"""WITH {_PATHS}, t AS (SELECT path AS file, {_P} AS P, {_SNAKE} AS s FROM paths JOIN part USING (p_partkey) WHERE NOT regexp_matches(path, '(^|/)({'|'.join(SKIP_DIRS)}|[.][^/]+)/') AND {_EXT} IN {_in(SOURCE_EXTENSIONS)})
+SELECT file, 1 AS line, 7 AS "column", P AS identifier FROM t UNION ALL SELECT file, 2, 6, s FROM t
+UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL SELECT file, 2, CAST(strlen(s) + 16 AS INT), 'get' || P FROM t""",
+    "scan_guards": f"WITH {_PATHS}, {_TREE} SELECT path, CASE WHEN p_partkey % 400 = 8 THEN 1048576 ELSE strlen(content) END AS size FROM t WHERE p_partkey % 13 <> 0 AND p_partkey % 400 <> 7",
+    "scan_filtered": f"WITH {_PATHS}, {_TREE} SELECT path, strlen(content) AS size FROM t WHERE starts_with(path, 'repo/src') AND {_EXT} IN ('py', 'rs') AND strlen(content) > 50",
+    "sql_table_function": f"{_DOC_PARSED} SELECT file, CAST(line AS INT) AS line, identifier, convention, array_to_string(tags, ' ') AS tags FROM p",
+    "sql_renderings": f"{PARSED} SELECT file, line, identifier, target, {joined('tags', 'target')} AS alias FROM p, {_TARGETS}",
     "keyword_filter": f"{_DOC} SELECT identifier, count(*) AS n FROM found WHERE strlen(identifier) <= 1 OR identifier IN {_in(KEYWORDS)} GROUP BY 1",
     "identifier_counts": f"{_DOC_PARSED} SELECT identifier, array_to_string(tags, '_') AS canonical, count(*) AS n FROM p GROUP BY 1, 2",
     "search_documents": f"{_DOC_PARSED} SELECT file, CAST(line AS INT) AS line, identifier FROM p WHERE list_contains(tags, 'with')",
     "search_single": f"{PARSED} SELECT file, line, identifier, convention FROM p WHERE list_contains(tags, 'gear')",
     "search_and": f"{PARSED} SELECT file, line, identifier, convention FROM p WHERE list_has_all(tags, ['gear', 'small'])",
     "search_empty": f"{PARSED} SELECT file, line, identifier, convention FROM p",
+    "search_ordered": f"{PARSED} SELECT file, line, identifier, convention FROM p WHERE '/' || array_to_string(tags, '//') || '/' LIKE '%/small/%/gear/%'",
+    "search_sorted": f"{PARSED} SELECT file, row_number() OVER (PARTITION BY file ORDER BY line) AS place, line, identifier FROM p WHERE list_has_all(tags, ['gear', 'small'])",
+    "search_many_ordered": f"{PARSED}, q AS (SELECT DISTINCT w[1] || '_' || w[-1] AS query, w[1] AS a, w[-1] AS b FROM (SELECT string_split(p_name, ' ') AS w FROM part)) SELECT query, file, line, identifier FROM p, q WHERE list_contains(tags, a) AND list_contains(tags[list_position(tags, a) + 1:], b)",
     "search_many": f"{PARSED}, q AS (SELECT DISTINCT replace(p_name, ' ', '-') AS query, string_split(p_name, ' ') AS need FROM part) SELECT query, file, line, identifier FROM p, q WHERE list_has_all(tags, need)",
     "graph_nodes": f"{PARSED}, {_NODES} SELECT tag FROM nodes",
     "graph_edges": f"{PARSED}, {_EDGES} SELECT src, dst, weight FROM edges",
     "graph_dot_lines": f"{PARSED}, {_EDGES} SELECT chr(9) || '\"' || src || '\" -> \"' || dst || '\" [label=\"' || weight || '\"];' AS dot FROM edges",
+    "graph_json_nodes": f"{PARSED}, {_NODES}, {_EDGES} SELECT tag, CAST(to_json(tag) AS VARCHAR) AS json, tag NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) AS isolated FROM nodes",
     "graph_subgraph_nodes": f"{_SUB} SELECT tag FROM kept",
     "graph_subgraph_edges": f"{_SUB} SELECT src, dst, weight FROM edges WHERE src IN (SELECT tag FROM kept) AND dst IN (SELECT tag FROM kept)",
     "lint_violations": f"{_LINT} SELECT file, line, identifier, expected AS expected_convention, convention AS actual_convention FROM v",
     "lint_resolved_config": f"{PARSED}, {_rules(RESOLVED_RULES)}{_FOUND} SELECT file, line, identifier, expected AS expected_convention, {joined('tags', 'wanted')} AS suggested_fix FROM v",
+    "lint_nearest_config": _lint_folders(NEAREST_RULES),
+    "lint_merged_config": _lint_folders(MERGED_RULES),
+    "merged_context_rules": f"{PARSED}, {_PLACED_NAMES}, r(own, folder, context, convention, prefix, suffix) AS (VALUES {_MERGED_VALUES}) SELECT own, folder, context, r.convention, prefix, suffix, count(*) AS n FROM placed JOIN r USING (own, context) GROUP BY ALL",
     "lint_generated_config": f"{PARSED}, {_rules(GENERATED_RULES)}{_FOUND} SELECT file, line, identifier, expected AS expected_convention, {joined('tags', 'wanted')} AS suggested_fix FROM v",
     "graph_json_edges": f"{PARSED}, {_EDGES} SELECT CAST(to_json({{'from': src, 'to': dst, 'weight': weight}}) AS VARCHAR) AS json FROM edges",
     "lint_suggested_fix": f"{_LINT} SELECT file, line, identifier, {joined('tags', 'wanted')} AS suggested_fix FROM v",
@@ -274,5 +325,6 @@ UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL
     " || 'role:' || coalesce(role, 'none') || chr(9) || 'shape:' || coalesce(shape, 'none') AS text FROM p",
     "stream_parse": f"SELECT p_partkey, {_SNAKE} AS identifier, p_name AS tags FROM part",
     "stream_graph_edges": "WITH p AS (SELECT string_split(p_name, ' ') AS tags FROM part), " + _EDGES + " SELECT src, dst, weight FROM edges",
+    "stream_late_tags": _LATE,
     "stream_windowed_tags": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, tag, count(*) AS n FROM (SELECT ts, unnest(string_split('on_' || event_type, '_')) AS tag FROM events) WHERE tag <> '' GROUP BY ALL",
 } | {f"join_{short}": _key(f"{joined('tags', repr(conv))} AS rendered") for short, conv in (("snake", "snake_case"), ("camel", "camelCase"), ("pascal", "PascalCase"), ("kebab", "kebab-case"), ("upper", "UPPER_SNAKE_CASE"), ("ada", "Ada_Case"))}

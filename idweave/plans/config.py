@@ -96,6 +96,16 @@ def builtin(name: str) -> Config | None:
     return from_dict(PRESETS[language]) if language else None
 
 
+def to_contexts(data: dict) -> list[dict]:
+    """Contexts of parsed TOML as plain tables: of each built-in preset that it extends, left to right, then its own."""
+    out = []
+    for entry in data.get("extends") or []:
+        if entry not in NAMES:
+            raise ConfigError(f"`{entry}` is no built-in preset")
+        out.append(PRESETS[NAMES[entry]].get("contexts", {}))
+    return [*out, data.get("contexts", {})]
+
+
 def resolve(path: str) -> Config:
     """A file merged onto what it extends, left to right; entries are built-in names or paths from its folder.
 

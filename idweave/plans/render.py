@@ -50,6 +50,12 @@ def edge_json(edges):
     return edges.select("src", "dst", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight")).alias("json"))
 
 
+def node_json(nodes, edges):
+    """JSON of each node, as a graph's JSON text holds it, and whether no edge touches it."""
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("tag")).distinct().withColumn("touched", F.lit(True))
+    return nodes.join(touched, "tag", "left").select("tag", F.regexp_extract(F.to_json(F.array("tag")), r"(?s)^\[(.*)\]$", 1).alias("json"), F.col("touched").isNull().alias("isolated"))
+
+
 def parse_text(row) -> str:
     """The listing of one parsed name."""
     out = [f"name:       {row['identifier']}", f"convention: {row['convention']}", f"tags:       [{', '.join(row['tags'])}]"]

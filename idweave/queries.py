@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import names, sql_functions
 from .operators import classify, extract, graph, lint, search
-from .plans import config, presets, render
+from .plans import config, hierarchy, presets, render
 from .sources import derived, files
+from .sources.stored import shared_folder
 from .streaming import streams
 
 
@@ -145,6 +148,27 @@ def search_documents(spark, sf_dir):
     return search.search(_extracted(spark, sf_dir), "With").select("file", "line", "identifier")
 
 
+def search_ordered(spark, sf_dir):
+    """The query's tags in the query's order."""
+    return search.search(_parsed(spark, sf_dir), "smallGear", ordered=True).select("file", "line", "identifier", "convention")
+
+
+def search_sorted(spark, sf_dir):
+    """Hits with their place in the order of file, line and column."""
+    hits = search.ordered(search.search(_parsed(spark, sf_dir), "GearSmall"))
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("line", "column")))
+    return ranked.select("file", "place", "line", "identifier")
+
+
+def _end_words(spark, sf_dir):
+    """Queries of the first and the last word of every part name."""
+    return derived.table(spark, sf_dir, "part").select(F.expr("concat(element_at(split(p_name, ' '), 1), '_', element_at(split(p_name, ' '), -1))").alias("query")).distinct()
+
+
+def search_many_ordered(spark, sf_dir):
+    return search.search_many(_parsed(spark, sf_dir), _end_words(spark, sf_dir), ordered=True).select("query", "file", "line", "identifier")
+
+
 def search_many(spark, sf_dir):
     """Every part name as a query against all derived names."""
     queries = derived.table(spark, sf_dir, "part").select(F.expr("replace(p_name, ' ', '-')").alias("query")).distinct()
@@ -172,6 +196,11 @@ def _subgraph(spark, sf_dir):
     return graph.subgraph(graph.tag_nodes(parsed), graph.tag_edges(parsed), "smallGear")
 
 
+def graph_json_nodes(spark, sf_dir):
+    """The nodes of a graph's JSON text: also those of names of one tag, which no edge touches."""
+    return render.node_json(graph.tag_nodes(_parsed(spark, sf_dir)), graph_edges(spark, sf_dir)).select("tag", "json", "isolated")
+
+
 def graph_subgraph_nodes(spark, sf_dir):
     return _subgraph(spark, sf_dir)[0]
 
@@ -227,6 +256,42 @@ def lint_generated_config(spark, sf_dir):
     return found.select("file", "line", "identifier", "expected_convention", "suggested_fix")
 
 
+#: Configuration files of a project's folders; a rule without convention only adds to those above it.
+FOLDER_CONFIGS = [
+    ("repo/.naming.toml", 'version = 1\nname = "repo"\nextends = ["rust"]\n[contexts.field]\nconvention = "kebab"\n[contexts.import]\nconvention = "screaming"\n'),
+    ("repo/src/.naming.toml", 'version = 1\nname = "src"\n[contexts.function]\nconvention = "PascalCase"\nprefix = "do"\n[contexts.import]\nconvention = "lowercase"\n'),
+    ("repo/src/api/.naming.toml", 'version = 1\nname = "api"\n[contexts.type]\nconvention = "Ada_Case"\n[contexts.function]\nsuffix = "Fn"\n'),
+]
+
+
+def _folder_configs(spark):
+    return spark.createDataFrame(FOLDER_CONFIGS, "path string, content string")
+
+
+def _lint_tree(spark, sf_dir, merged):
+    found = hierarchy.lint_tree(names.parse(derived.placed_names(spark, sf_dir)), _folder_configs(spark), merged)
+    return found.select("file", "line", "identifier", "expected_convention", "suggested_fix")
+
+
+def lint_nearest_config(spark, sf_dir):
+    """Each file under the rules of the nearest configuration above it."""
+    return _lint_tree(spark, sf_dir, False)
+
+
+def lint_merged_config(spark, sf_dir):
+    """Each file under the rules of all configurations above it, the closest one first."""
+    return _lint_tree(spark, sf_dir, True)
+
+
+def merged_context_rules(spark, sf_dir):
+    """The rules that hold for each derived name's folder, with prefix and suffix, and how many names they meet."""
+    fields = hierarchy.config_fields(_folder_configs(spark))
+    own = derived.placed_names(spark, sf_dir).select(F.expr(hierarchy.folder_of("file")).alias("own"), "context").filter("context IS NOT NULL")
+    counts = own.groupBy("own", "context").agg(F.count(F.lit(1)).alias("n"))
+    rules = hierarchy.nearest_folder(counts, fields).join(hierarchy.merged_rules(fields), "folder")
+    return counts.join(rules, ["own", "context"]).select("own", "folder", "context", "convention", "prefix", "suffix", "n")
+
+
 def preset_violations(spark, sf_dir):
     """Violations of every built-in preset's rules over all derived names."""
     rules = presets.presets_frame(spark).select("preset", "context", "convention").withColumnRenamed("convention", "wanted")
@@ -244,13 +309,60 @@ def detect_language(spark, sf_dir):
     return derived.path_table(spark, sf_dir).select("p_partkey", ext.alias("ext"), files.language_of(ext).alias("language"))
 
 
+def _written_tree(spark, rows):
+    """The place of a new tree of files in the shared folder."""
+    root = f"{files.local_path(shared_folder(spark))}/tree-{uuid.uuid4().hex}"
+    files.write_tree(rows, root)
+    return root
+
+
+def _below(root, column="file"):
+    return F.expr(f"substring({column}, {len(root) + 2})").alias(column)
+
+
 def scan_tree(spark, sf_dir):
     """Identifiers of a tree of source files that is written first, in the shared folder."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/").removeprefix("file://")
-    root = f"{folder}/tree-{uuid.uuid4().hex}"
-    files.write_tree(derived.tree_files(spark, sf_dir), root)
+    root = _written_tree(spark, derived.tree_files(spark, sf_dir))
     found = extract.extract_identifiers(files.read_tree(spark, root, extract.MAX_FILE_SIZE))
-    return found.select(F.expr(f"substring(file, {len(root) + 2})").alias("file"), "line", "column", "identifier")
+    return found.select(_below(root), "line", "column", "identifier")
+
+
+def scan_guards(spark, sf_dir):
+    """Files of a tree that text mode reads: none over 1 MiB, none that is not UTF-8, no links."""
+    root = _written_tree(spark, derived.guarded_files(spark, sf_dir))
+    # a link to a folder and one to nothing
+    os.symlink(f"{root}/repo/src", f"{root}/repo/linked")
+    os.symlink(f"{root}/gone.py", f"{root}/repo/dangling.py")
+    return files.read_tree(spark, root, extract.MAX_FILE_SIZE).select(_below(root, "path"), "size")
+
+
+def scan_filtered(spark, sf_dir):
+    """A part of the tree: only its folders are opened, and only files of the extensions and sizes are read."""
+    root = _written_tree(spark, derived.tree_files(spark, sf_dir))
+    tree = files.read_tree(spark, root, extract.MAX_FILE_SIZE, min_size=51, extensions=("py", "rs"), below="repo/src")
+    return tree.select(_below(root, "path"), "size")
+
+
+def stream_tree(spark, sf_dir):
+    """Identifiers of a tree that arrive as a stream of files."""
+    root = _written_tree(spark, derived.tree_files(spark, sf_dir))
+    time.sleep(files.SETTLED)
+    found = extract.extract_identifiers(files.stream_tree(spark, root, extract.MAX_FILE_SIZE)).select(_below(root), "line", "column", "identifier")
+    return streams.run_once(found, spark)
+
+
+def sql_table_function(spark, sf_dir):
+    """Names of documents by a SQL table function."""
+    sql_functions.register(spark)
+    derived.table(spark, sf_dir, "documents").createOrReplaceTempView("derived_documents")
+    return spark.sql("SELECT CAST(d.doc_id AS STRING) AS file, e.line, e.identifier, e.convention, array_join(e.tags, ' ') AS tags FROM derived_documents d, LATERAL extract_names(d.text) e")
+
+
+def sql_renderings(spark, sf_dir):
+    """All renderings of the derived names by a SQL table function."""
+    sql_functions.register(spark)
+    derived.names_table(spark, sf_dir).createOrReplaceTempView("derived_names")
+    return spark.sql("SELECT n.file, n.line, n.identifier, r.convention AS target, r.alias FROM derived_names n, LATERAL name_renderings(n.identifier) r")
 
 
 def classify_contexts(spark, sf_dir):
@@ -294,13 +406,22 @@ def stream_windowed_tags(spark, sf_dir):
     return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tag", "n")
 
 
+def stream_late_tags(spark, sf_dir):
+    """Closed hourly windows of events that come in four deliveries, some two deliveries late: those over 36 hours late are dropped."""
+    folder = streams.deliveries(spark, derived.delivered_events(spark, sf_dir), "delivery", derived.DELIVERIES)
+    stream = streams.read_table_stream(spark, folder, files_a_batch=1).select("ts", F.expr("concat('on_', event_type)").alias("identifier"))
+    counts = streams.run_once(streams.windowed_tags(streams.parse_stream(stream), late="36 hours"), spark)
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tag", "n")
+
+
 def queries():
     own = [
         detect_convention, parse_tags, canonical_key, namespaces, detect_role, detect_shape, forced_convention, alias_all_long, alias_map, prose,
         sql_surface, equivalence_groups, extract_lines, extract_identifiers, extract_columns, extract_kebab, keyword_filter, identifier_counts,
-        search_documents, search_many, graph_nodes, graph_edges, graph_dot_lines, graph_json_edges, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
-        lint_violations, lint_suggested_fix, lint_lines, lint_resolved_config, lint_generated_config, preset_violations, source_prune, detect_language, scan_tree, classify_contexts, extract_with_context,
-        lint_sources, extract_text_lines, parsed_json, stream_parse, stream_graph_edges, stream_windowed_tags,
+        search_documents, search_ordered, search_sorted, search_many, search_many_ordered, graph_nodes, graph_edges, graph_dot_lines, graph_json_edges, graph_json_nodes, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
+        lint_violations, lint_suggested_fix, lint_lines, lint_resolved_config, lint_generated_config, lint_nearest_config, lint_merged_config, merged_context_rules,
+        preset_violations, source_prune, detect_language, scan_tree, scan_guards, scan_filtered, stream_tree, sql_table_function, sql_renderings, classify_contexts, extract_with_context,
+        lint_sources, extract_text_lines, parsed_json, stream_parse, stream_graph_edges, stream_windowed_tags, stream_late_tags,
     ]
     out = {f.__name__: f for f in own}
     for short, conv in (("snake", "snake_case"), ("camel", "camelCase"), ("pascal", "PascalCase"), ("kebab", "kebab-case"), ("upper", "UPPER_SNAKE_CASE"), ("ada", "Ada_Case")):

@@ -47,6 +47,28 @@ def names_table(spark, sf_dir):
     return out
 
 
+#: Folders that names are placed in, by remainders of their line.
+NAME_FOLDERS = ("repo/src/api", "repo/src", "repo/lib", "elsewhere", "repo/src/api/v2/deep")
+
+
+def placed_names(spark, sf_dir):
+    """The derived names with files in folders of a project."""
+    folder = f"element_at(array({', '.join(repr(f) for f in NAME_FOLDERS)}), CAST(pmod(line, {len(NAME_FOLDERS)}) AS INT) + 1)"
+    return names_table(spark, sf_dir).withColumn("file", F.concat(F.expr(folder), F.lit("/"), "file"))
+
+
+#: Deliveries of events: a quarter of the month each, and what comes two deliveries late.
+DELIVERIES = 4
+
+
+def delivered_events(spark, sf_dir):
+    """Events with the delivery they come in: every eleventh one comes two deliveries late."""
+    quarter = F.expr(f"least(CAST((day(ts) - 1) div 8 AS INT), {DELIVERIES - 1})")
+    late = F.when(F.col("event_id") % 11 == 0, 2).otherwise(0)
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.select("event_id", "ts", "event_type", F.least(quarter + late, F.lit(DELIVERIES - 1)).alias("delivery"))
+
+
 def document_files(spark, sf_dir, ext="txt"):
     """Documents in the shape of files."""
     return as_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"), ext)
@@ -74,6 +96,15 @@ def tree_files(spark, sf_dir):
     return part.select("path", F.concat(F.lit("class "), "P", F.lit("\nself "), "s", F.lit(" value1 = get"), "P", F.lit("\n")).alias("content"))
 
 
+def guarded_files(spark, sf_dir):
+    """Those files with some that text mode leaves out: of 1 MiB and two bytes, of bytes that are not UTF-8; some of 1 MiB stay."""
+    own = tree_files(spark, sf_dir)
+    key = F.regexp_extract("path", r"_(\d+)\.", 1).cast("long")
+    long = lambda n: F.repeat(F.lit("ab"), F.lit(n))
+    content = F.when(key % 400 == 7, long(524_289)).when(key % 400 == 8, long(524_288)).otherwise(F.col("content")).cast("binary")
+    return own.select("path", F.when(key % 13 == 0, F.unhex(F.lit("61FF62"))).otherwise(content).alias("content"))
+
+
 #: remainder of the key -> (extension, source text with marks for the Pascal, snake, camel and kebab name)
 SOURCES = {
     0: ("py", "import @s\nclass @P:\n    def @s(self, count: int):\n        value = 1\n"),

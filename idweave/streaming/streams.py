@@ -7,19 +7,29 @@ meets the state.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators.graph import tag_edges
+from ..sources.stored import shared_folder
 
 
-def read_table_stream(spark, path):
-    """A stream of the files of a Parquet table, a folder or a single file."""
+def deliveries(spark, rows, delivery_col, n):
+    """A Parquet folder that holds each delivery's rows in a file of its own, written one after the other."""
+    folder = f"{shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    for k in range(n):
+        rows.filter(F.col(delivery_col) == k).drop(delivery_col).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def read_table_stream(spark, path, files_a_batch=None):
+    """A stream of the files of a Parquet table, a folder or a single file; the oldest files come first."""
     batch = spark.read.parquet(path)
     reader = spark.readStream.schema(batch.schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
     if any(f.rstrip("/").endswith(f"/{name}") for f in batch.inputFiles()):  # streams read folders only
         return reader.option("pathGlobFilter", name).parquet(folder)
@@ -41,7 +51,7 @@ def run_once(stream, spark, mode="append"):
 
     Append mode keeps every batch's rows; in complete mode the last batch's result stands.
     """
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
@@ -53,7 +63,12 @@ def run_once(stream, spark, mode="append"):
 
 
 def windowed_tags(stream, time_col="ts", window="1 hour", late="2 hours"):
-    """(window start, tag, n): tags of a stream of parsed names in tumbling windows; later rows than ``late`` are dropped by the watermark."""
+    """(window start, tag, n): tags of a stream of parsed names in tumbling windows.
+
+    The watermark is the latest time of all earlier batches less ``late``.  Rows of windows that end
+    by then are dropped; in append mode a window comes out once, when the watermark passes
+    its end, and its state is freed.
+    """
     rows = stream.withWatermark(time_col, late).select(time_col, F.explode("tags").alias("tag"))
     counts = rows.groupBy(F.window(time_col, window).alias("w"), "tag").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), "tag", "n")
