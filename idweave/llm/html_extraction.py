@@ -3,12 +3,13 @@
 A page is read into a tree of elements.  Every paragraph-like block passes points for its
 length and commas to its ancestors, halved at each step up, and each element's points are
 discounted by its link density.  The best element and those of its siblings that score well,
-or are prose themselves, are the article; boilerplate elements inside are left out.  What looks
+or are prose themselves, are the article, with headings, lists, quotes, tables and bare text beside
+it where no article element marks its bounds; boilerplate elements inside are left out.  What looks
 like boilerplate but holds the page's only article element, or most of the prose of a page without
 one, is a wrapper and stays.
 
-Defined results: a null or empty page, or one without prose, has an empty text.  Pages are
-read one by one; repeated rows repeat and an empty table gives none.  Ties in points go to the
+Defined results: a null or empty page has an empty text.  A page where nothing scores (no block of
+25 characters) keeps all of its text but boilerplate and blocks of links.  Pages are read one by one; repeated rows repeat and an empty table gives none.  Ties in points go to the
 deeper element, then to the earlier one.
 """
 
@@ -42,6 +43,8 @@ _BLOCK = frozenset(
 )
 _PARAGRAPH = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6 div section article figcaption".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: blocks that are kept beside an article that no element marks, however short
+_SHORT = _HEADING | frozenset("ul ol dl blockquote pre table figure".split())
 #: an open element of the first kind ends where one of the second kind opens
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: a stray end of the second kind does not reach out of an element of the first kind
@@ -269,6 +272,17 @@ def _blocks(node, out):
     flush()
 
 
+def _short_page(root, nodes):
+    """All text of a page without prose that scores, or of its marked article, but for blocks that are links for the most part."""
+    marked = [n for n in nodes if n.tag in ("article", "main") and not n.bad]
+    for node in nodes:  # parents come first
+        menu = node.tag in _BLOCK and node.tag not in ("html", "body", "article", "main") and node.linked > 0 and node.linked * 2 >= node.n
+        node.bad = node.bad or menu or (node.up is not None and node.up.bad)
+    out = []
+    _blocks((marked or [root])[0], out)
+    return "\n".join(out)
+
+
 def main_text(page):
     """The article's text: one line for each block."""
     if not page:
@@ -280,11 +294,7 @@ def main_text(page):
     _measure(nodes)
     open_ = [n for n in nodes if not n.bad and n.tag not in ("p", "li", "#root", "html") and n.tag not in _HEADING and n.points > 0]
     if not open_:
-        out = []
-        bodies = [n for n in nodes if n.tag in ("article", "main") and not n.bad]
-        for body in bodies[:1] or [n for n in nodes if n.tag == "p" and not n.bad and n.linked * 2 < n.n]:
-            _blocks(body, out)
-        return "\n".join(out)
+        return _short_page(root, nodes)
     score = lambda n: n.points * (1 - n.linked / max(n.n, 1))
     best = max(open_, key=lambda n: (score(n), n.depth, -n.order))
     holder = best
@@ -295,9 +305,17 @@ def main_text(page):
     least = max(2.0, 0.2 * score(best))
     out = []
     for kid in best.up.kids if best.up is not None and best.tag not in ("body", "main") else [best]:
-        if isinstance(kid, str) or kid.bad:
+        if isinstance(kid, str):
+            line = _SPACE.sub(" ", kid).strip()
+            if line and holder is None:
+                out.append(line)
+            continue
+        if kid.bad:
             continue
         density = kid.linked / max(kid.n, 1)
+        if holder is None and density < 0.25 and kid.n > 0 and kid.tag in _SHORT:  # belongs to the blocks beside it
+            _blocks(kid, out)
+            continue
         prose = kid.tag == "p" and (kid.n > 80 and density < 0.25 or kid.n > 0 and density == 0 and kid.points == 0 and kid.n > 40)
         if kid is best or score(kid) >= least or prose:
             _blocks(kid, out)

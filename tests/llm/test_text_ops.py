@@ -569,3 +569,101 @@ def test_url_sql(spark):
     c.execute(f"create view pages as select * from '{SF}/pages.parquet'")
     found = sorted(tuple(r) for r in url_filters.query(spark, SF).collect())
     assert found == sorted(c.sql(url_filters.ORACLE_SQL).project("page_id, host, path, rule, verdict").fetchall())
+
+
+def naive_short_page(tree):
+    """All lines of a tree of (tag, children) but those of blocks that are links for the most part."""
+    block = ("p", "h2", "ul", "li", "div", "body")
+    size = lambda n, linked: sum(len(k.strip()) * (linked in (False, n[0] == "a")) if isinstance(k, str) else size(k, linked and n[0] != "a") for k in n[1])
+    out, run = [], []
+
+    def flush():
+        line = " ".join("".join(run).split())
+        run.clear()
+        if line:
+            out.append(line)
+
+    def walk(n):
+        if n[0] in block:
+            flush()
+        for k in n[1]:
+            if isinstance(k, str):
+                run.append(k)
+            elif not (k[0] in block and 0 < size(k, True) and 2 * size(k, True) >= size(k, False)):
+                walk(k)
+        if n[0] in block:
+            flush()
+
+    walk(tree)
+    flush()
+    return "\n".join(out)
+
+
+def test_pages_without_long_paragraphs():
+    assert html_extraction.main_text("<h2>Intro</h2><p>Hi.</p><p>Short one.</p>") == "Intro\nHi.\nShort one."
+    assert html_extraction.main_text("<body>bare<ul><li>one<li>two</ul><div class=ad>buy</div><nav>home</nav><ul><li><a href=x>menu</a></ul>end") == "bare\none\ntwo\nend"
+    r = random.Random(13)
+    word = lambda: r.choice(["tea", "ox", "so it is", "yes,"])
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[1]))}</{n[0]}>"
+    for _ in range(200):
+        kids = []
+        for _ in range(r.randint(1, 6)):
+            kind = r.random()
+            inline = lambda: ("a", [word()]) if r.random() < 0.4 else word()
+            if kind < 0.2:
+                kids.append(("h2", [word()]))
+            elif kind < 0.5:
+                kids.append(("p", [inline()]))
+            elif kind < 0.7:
+                kids.append(("ul", [("li", [inline()]) for _ in range(r.randint(1, 3))]))
+            elif kind < 0.85:
+                kids.append(("div", [("p", [inline()]), word()]))
+            else:
+                kids.append(f" {word()} ")
+        tree = ("body", kids)
+        assert html_extraction.main_text(show(tree)) == naive_short_page(tree)
+
+
+def test_short_blocks_beside_the_best():
+    prose = "<div>" + "".join(f"<p>Sentence {i}, with commas, and words enough, to be taken for prose by any reader.</p>" for i in range(4)) + "</div>"
+    page = f"<div><h2>Head</h2>bare words{prose}<ul><li>item</li></ul><ul><li><a href=x>elsewhere</a></li></ul><blockquote>said</blockquote></div>"
+    lines = html_extraction.main_text(f"<body>{page}<div class=footer>foot</div></body>").split("\n")
+    assert lines[:2] == ["Head", "bare words"] and lines[-2:] == ["item", "said"] and len(lines) == 8
+    # a marked article has its own bounds
+    assert html_extraction.main_text(f"<body><h2>Site</h2>slogan<article>{prose}</article></body>").count("\n") == 3
+
+
+def test_blocked_sites_by_hand(spark):
+    urls = [f"http://Deal.example.org/{w}" for w in ("casino/1", "x?q=poker", "plain")] + ["http://ok.example.org/casino"] * 2 + [f"http://fine.example.org/{i}" for i in range(5)] + ["http://fine.example.org/casino", None, "casino", "http:///casino"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [tuple(x) for x in url_filters.blocked_sites(df).collect()] == [("block", "deal.example.org")]
+    verdicts = {x.page_id: x.verdict for x in url_filters.judge_urls(df, listed=url_filters.blocked_sites(df)).collect()}
+    assert [k for k, v in verdicts.items() if v == "block"] == [0, 1, 2]
+
+
+def test_long_lists_reach_the_driver_as_bytes(spark, monkeypatch):
+    import tracemalloc
+
+    listed = spark.range(300_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("site"), F.col("id").cast("string"), F.lit(".example.invalid")).alias("site"))
+    tracemalloc.start()
+    blob = url_filters.build_listed_index(listed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 12_000_000 < len(blob) < 14_500_000 and peak < 5 * len(blob)
+    index = url_filters.Index(blob)
+    assert (np.diff(index.digest.astype(object)) >= 0).all()
+    assert index.probe(["ssite299999.example.invalid/", "ssite300000.example.invalid/", "rnet/", "wcasino"]).tolist() == [5, 0, 2, 3]
+    monkeypatch.setattr(url_filters, "MOST_BYTES", 1 << 20)
+    with pytest.raises(ValueError, match="listed sites take"):
+        url_filters.build_listed_index(listed)
+
+
+def test_ids_of_any_type(spark, make):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    for module, score in ((quality_rules, lambda d, y: quality_rules.quality_rules(d, y)), (quality_classifier, lambda d, y: quality_classifier.score_quality(d, quality_classifier.fit(d, y)))):
+        rows = score(named(docs), named(labels))
+        column = "kept" if module is quality_rules else "predicted"
+        good = rows.join(named(labels).select("doc_id", "quality"), "doc_id").select(F.avg((F.col(column).cast("int") == F.col("quality")).cast("int"))).first()[0]
+        assert rows.count() == docs.count() and good > 0.9
