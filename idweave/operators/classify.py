@@ -1,164 +1,24 @@
 """Syntactic contexts of identifiers.
 
-Python files go through the standard ``ast`` module.  For the other languages comments and
-strings are blanked and a small table of patterns marks declarations: each pattern's group ``n``
-is the name, its group ``at``, if there is one, the reported place (imports are reported where
-their statement begins).  Some patterns hold only directly inside the body of a type, or outside
-of one.  This approximates a grammar: nested declarators and exotic layouts may differ.
-Spark deals out the files; rows are parsed further as column expressions.
+Python files go through the standard ``ast`` module, a file at a time in tasks.  Declarations of
+all other languages are found by column expressions (``declarations``): tokens, brackets, statements
+and a table of rules.  This approximates a grammar: exotic layouts may differ.  Imports are reported
+where their statement begins.  Rows are parsed further as column expressions.
 """
 
 from __future__ import annotations
 
 import ast
-import re
-from bisect import bisect_right
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..sources.files import language_of
+from .declarations import declarations
 from .extract import MAX_FILE_SIZE, extract_identifiers
 
-_ID = r"[A-Za-z_]\w*"
-_N = rf"(?P<n>{_ID})"
-_NOT_CALL = r"(?!(?:if|for|while|switch|return|catch|else|do|sizeof|new|throw|using|lock|synchronized|when|match|guard)\b)"
-_ARGS = r"\((?P<args>(?:[^()]|\([^()]*\))*)\)"
-
-
-def _word(words, rest=_N):
-    return rf"\b(?:{words})\s+{rest}"
-
-
-_JAVA_DECLARED = (
-    rf"(?:^|(?<=[;{{}}]))[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|volatile|transient)\s+)*"
-    rf"(?!(?:return|package|import|throw|new|else|case|assert|yield|class|interface|enum|record|abstract|goto)\b){_ID}[\w.]*(?:<[^;=(){{}}]*>)?(?:\[\])*\s+{_N}\s*(?:\[\])*\s*(?:=[^=]|;|,)"
-)
-_C_PRIMITIVE = r"(?:struct|enum|union|unsigned|signed|long|short|int|char|float|double|void|bool|size_t|ssize_t|u?int\d+_t|u?intptr_t|char\d+_t)\b"
-#: bodies of braces: of a type, of an interface, of anything else (code), and what stands outside of all
-_TYPE, _INTERFACE, _CODE, _TOP = "type", "interface", "code", "top"
-
-#: language -> (context, pattern[, pattern inside its group ``args``[, bodies where it holds]])
-RULES = {
-    "rust": [
-        ("function", _word("fn")), ("variable", rf"\blet\s+(?:mut\s+)?{_N}\s*[:=;]"), ("type", _word("struct|enum|type")),
-        ("constant", rf"\b(?:const|static)\s+(?:mut\s+)?(?!fn\b){_N}\s*:"), ("import", rf"\buse\s+(?:[\w:]+::)?{_N}(?P<at>)\s*;"),
-        ("parameter", rf"\bfn\s+{_ID}\s*(?:<[^(]*>)?\s*{_ARGS}", rf"(?:^|,)\s*(?:mut\s+)?(?!self\b){_N}\s*:(?!:)"),
-        ("field", rf"\bstruct\s+{_ID}\s*(?:<[^{{;]*>)?\s*\{{(?P<args>[^}}]*)\}}", rf"(?:^|,)\s*(?:pub(?:\([^)]*\))?\s+)?{_N}\s*:(?!:)"),
-    ],
-    "javascript": [
-        ("function", rf"\bfunction\s*\*?\s*{_N}\s*\("), ("function", rf"^[ \t]+(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*{_NOT_CALL}(?!function\b)(?P<n>[\w$]+)\s*\([^()]*\)\s*(?::[^{{;=]+)?\{{"),
-        ("variable", r"\b(?:var|let|const)\s+(?P<n>[\w$]+)"), ("type", _word("class")),
-        ("import", r"\bimport\b[^{;'\"]*\{(?P<args>[^}]*)\}", r"(?:^|,)\s*(?:type\s+)?(?P<n>[\w$]+)"),
-        ("parameter", r"\bfunction\s*\*?\s*[\w$]*\s*\((?P<args>[^()]*)\)", r"^\s*(?P<n>[\w$]+)"),
-        ("parameter", rf"^[ \t]+(?:static\s+|async\s+)*{_NOT_CALL}(?!function\b)[\w$]+\s*\((?P<args>[^()]*)\)\s*(?::[^{{;=]+)?\{{", r"^\s*(?P<n>[\w$]+)"),
-    ],
-    "go": [
-        ("function", rf"\bfunc\s*(?:\([^)]*\)\s*)?{_N}\s*[(\[]"), ("variable", rf"(?:\bvar\s+|^\s*){_N}(?:\s*,\s*{_ID})*\s*:="), ("variable", _word("var")),
-        ("type", _word("type")), ("constant", _word("const")), ("import", r"\bimport\s+(?P<at>)(?:[\w.]+\s+)?\"(?:[^\"\n]*/)?(?P<n>[^\"/\n]+)\""),
-        ("import", r"\bimport\s*\((?P<args>[^)]*)\)", r"(?P<at>(?:\b[\w.]+[ \t]+)?)\"(?:[^\"\n]*/)?(?P<n>[^\"/\n]+)\""),
-        ("parameter", rf"\bfunc\s*(?:\([^)]*\)\s*)?{_ID}\s*{_ARGS}", rf"(?:^|,)\s*{_N}\s+[^\s,]"),
-    ],
-    "c": [
-        ("function", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:[\w:<>,]+[\s*&]+)+{_NOT_CALL}(?:{_ID}::)*~?{_N}\s*\([^;{{}}=]*\)[\s\w]*[{{;]", None, (_CODE, _TOP)),
-        ("variable", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:(?:static|const|unsigned|signed|extern|volatile|register|struct|enum)\s+)*(?!return\b|typedef\b|using\b|goto\b|else\b|delete\b|namespace\b|class\b|struct\b|case\b){_ID}(?:::{_ID})*(?:<[^;=]*>)?[\s*&]+{_N}\s*(?:\[[^\]]*\])*\s*[=;]", None, (_CODE, _TOP)),
-        ("type", rf"\b(?:struct|enum)\s+(?:class\s+)?{_N}"), ("type", rf"\btypedef\s+(?:(?:const|volatile)\s+)*(?!{_C_PRIMITIVE}){_N}\b"),
-        ("type", rf"\btypedef\s+(?:(?:const|volatile)\s+)*(?={_C_PRIMITIVE})[^;{{}}]*?\b{_N}\s*;"), ("type", rf"\btypedef\b[^;{{}}]*\{{[^}}]*\}}\s*{_N}\s*;"),
-        ("import", r"^[ \t]*(?P<at>)#\s*include\s*[<\"](?P<n>[^>\"\n]+)[>\"]"),
-        ("parameter", rf"^[ \t]*(?:[\w:<>,]+[\s*&]+)+{_NOT_CALL}(?:{_ID}::)*{_ID}\s*{_ARGS}\s*[\w\s]*[{{;]", rf"(?:^|,)\s*(?:const\s+)?(?:struct\s+)?[\w:<>]+[\s]+(?P<n>[*&\s]*{_ID})\s*(?:\[[^\]]*\])?\s*(?=,|$|=)"),
-        ("field", rf"(?:^|(?<=[;{{}}:]))\s*(?!(?:public|private|protected)\s*:|(?:return|typedef|using|friend|enum|struct|class|union)\b[^;]*\{{)(?:(?:static|const|mutable|virtual|inline|unsigned|struct|enum)\s+)*{_ID}(?:::{_ID})*(?:<[^;={{}}]*>)?\s*(?P<n>[*&\s]*\b{_ID}(?:\s*\[[^\]]*\])*(?:\([^;{{}}]*\)[\w ]*)?)\s*(?:=[^;{{}}]*|\{{[^;{{}}]*\}})?;", None, (_TYPE,)),
-    ],
-    "java": [
-        ("function", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:@\w+\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:{_NOT_CALL}[\w.<>\[\],?]+\s+)?{_NOT_CALL}{_N}\s*\([^;{{}}()]*\)\s*(?:throws\s[\w\s,.]+)?[{{;]"),
-        ("variable", _JAVA_DECLARED, None, (_TYPE, _INTERFACE, _CODE)), ("field", _JAVA_DECLARED, None, (_TYPE,)), ("constant", _JAVA_DECLARED, None, (_INTERFACE,)),
-        ("variable", rf"\bfor\s*\(\s*(?:final\s+)?{_ID}[\w.<>\[\]]*\s+{_N}\s*=[^=]"),
-        ("type", _word("class|interface|enum|record|@interface")), ("import", rf"(?P<at>)\bimport\s+(?:static\s+)?(?:[\w]+\.)*{_N}\s*;"),
-        ("parameter", rf"{_NOT_CALL}\b{_ID}\s*{_ARGS}\s*(?:throws\s[\w\s,.]+)?[{{;]", rf"(?:^|,)\s*(?:@\w+\s+)?(?:final\s+)?[\w.<>\[\]?]+(?:\.\.\.)?\s+{_N}\s*(?=,|$)"),
-    ],
-    "ruby": [
-        ("function", r"\bdef\s+(?:self\.)?(?P<n>[a-z_]\w*[?!=]?)"), ("constant", r"^\s*(?P<n>[A-Z][A-Z_]*)\s*=[^=~>]"), ("variable", r"^\s*(?P<n>(?:[a-z_]\w*|[A-Z]\w*[a-z0-9]\w*))\s*=[^=~>]"),
-        ("type", r"^\s*(?:class|module)\s+(?P<n>[A-Z]\w*)"), ("import", r"(?P<at>)\brequire(?:_relative)?\s+['\"](?:[^'\"\n]*/)?(?P<n>[^'\"/\n]+)['\"]"),
-        ("parameter", r"\bdef\s+(?:self\.)?\w+[?!=]?\s*\(?(?P<args>[^)\n]*)", r"^\s*[*&]{0,2}(?P<n>[a-z_]\w*)\s*(?=,|$)"), ("parameter", r"\bdef\s+(?:self\.)?\w+[?!=]?\s*\(?(?P<args>[^)\n]*)", r"(?P<n>[a-z_]\w*)\s*(?:=|:)"),
-        ("field", r"^\s*@(?P<n>[a-z_]\w*)\s*=[^=~]"),
-    ],
-    "php": [
-        ("function", rf"\bfunction\s+&?{_N}"), ("variable", rf"\bstatic\s+\${_N}\s*[=;](?<!;;)"), ("type", _word("class|interface|trait|enum")),
-        ("constant", rf"\bconst\s+(?:\w+\s+)?{_N}\s*="), ("import", r"^\s*use\s+(?P<args>[\w\\,\s]+);", rf"(?:^|,)\s*(?P<at>)(?:\w+\\)*{_N}"),
-        ("parameter", rf"\bfunction\s+&?{_ID}\s*{_ARGS}", rf"\$(?P<n>{_ID})"), ("field", rf"\b(?:public|private|protected|var)\s+(?:static\s+|readonly\s+)*(?:\??[\w\\|]+\s+)?\${_N}"),
-    ],
-    "csharp": [
-        ("function", rf"^[ \t]*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|extern|partial)\s+)*(?:{_NOT_CALL}[\w.<>\[\],?]+\s+)?{_NOT_CALL}{_N}\s*(?:<[^>]*>)?\s*\([^;{{}}()]*\)\s*(?:where\s[^{{]*)?(?:[{{;]|=>)"),
-        ("variable", rf"^[ \t]+(?:(?:public|private|protected|internal|static|readonly|const)\s+)*(?!return\b|using\b|namespace\b|throw\b|new\b|else\b|case\b|await\b){_ID}[\w.<>\[\],?]*\s+{_N}\s*(?:=[^=>]|;)"),
-        ("type", _word("class|struct|interface|enum|record")), ("type", rf"\bdelegate\s+[\w<>\[\]]+\s+{_N}"), ("import", rf"^\s*(?P<at>)using\s+(?:static\s+)?(?:\w+\.)*{_N}\s*;"),
-        ("parameter", rf"{_NOT_CALL}\b{_ID}\s*(?:<[^>]*>)?\s*{_ARGS}\s*(?:\{{|=>)", rf"(?:^|,)\s*(?:(?:ref|out|in|params|this)\s+)?[\w.<>\[\]?]+\s+{_N}\s*(?=,|$|=)"),
-        ("field", rf"^[ \t]+(?:(?:public|private|protected|internal|static|readonly|const|virtual|override)\s+)+[\w.<>\[\],?]+\s+{_N}\s*(?:=[^=>]|;|\{{|=>)"),
-    ],
-    "swift": [
-        ("function", _word("func")), ("constant", rf"\blet\s+{_N}"), ("variable", rf"\bvar\s+{_N}"), ("type", r"(?<!import )" + _word("class|struct|enum|protocol|extension|actor")), ("import", rf"(?P<at>)\bimport\s+(?:\w+[ \t]+(?=\w+\.))?(?:\w+\.)*{_N}"),
-        ("constant", rf"^\s*case\s+{_N}\s*(?:[,=(]|$)"), ("parameter", rf"\b(?:func\s+\w+|init)\s*(?:<[^>]*>)?\s*{_ARGS}", rf"(?:^|,)\s*(?:\w+\s+)?{_N}\s*:"),
-    ],
-    "kotlin": [
-        ("function", rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?{_N}\s*\("), ("constant", r"\bval\s+(?P<n>[A-Z][A-Z_]*)\b"), ("variable", rf"\b(?:val\s+(?![A-Z][A-Z_]*\b)|var\s+){_N}\s*(?=[:=\n]|by\b)"),
-        ("type", _word("class|interface|object|typealias")), ("import", rf"(?P<at>)\bimport\s+(?:\w+\.)*{_N}\s*$"), ("parameter", rf"\bfun\s+(?:<[^>]*>\s*)?[\w.]+\s*{_ARGS}", rf"(?:^|,)\s*(?:vararg\s+)?{_N}\s*:"),
-        ("parameter", rf"\bclass\s+{_ID}\s*(?:<[^>]*>)?\s*{_ARGS}", rf"(?:^|,)\s*(?:(?:private|protected|public|override)\s+)?(?:val\s+|var\s+)?{_N}\s*:"),
-        ("constant", rf"\benum\s+class\s+{_ID}[^{{]*\{{(?P<args>[^}};]*)", rf"(?:^|,)\s*{_N}"),
-    ],
-}
-RULES["typescript"] = RULES["tsx"] = [*RULES["javascript"], ("parameter", rf"\b(?:function\s*[\w$]*|{_NOT_CALL}[\w$]+)\s*\((?P<args>[^()]*)\)\s*(?::[^{{;=]+)?\{{", r",\s*(?P<n>[\w$]+)\s*\??\s*:")]
-RULES["cpp"] = RULES["c"]
-
-_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-_SLASHES = re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<quoted>{_QUOTED}|`(?:\\.|[^`\\])*`)", re.S)
-_HASHES = re.compile(rf"#(?![\[{{])[^\n]*|(?P<quoted>{_QUOTED})|^=begin.*?^=end", re.S | re.M)
-#: languages whose imports are quoted: their strings on import lines stay
-_QUOTED_IMPORTS = {"go", "c", "cpp", "ruby"}
-_IMPORT_LINE = re.compile(r"^[ \t]*(?:#\s*include|import\b|require(?:_relative)?\b|\w*\s*\"[^\"\n]*\"\s*$)[^\n]*$", re.M)
-_COMPILED: dict = {}
-
-
-def _rules(language):
-    if language not in _COMPILED:
-        _COMPILED[language] = [(r[0], re.compile(r[1], re.M), re.compile(r[2]) if len(r) > 2 and r[2] else None, r[3] if len(r) > 3 else None) for r in RULES[language]]
-    return _COMPILED[language]
-
-
-def _blank(content, language):
-    """The content with comments and strings blanked, at the same places."""
-    keep = {m.start(): m.end() for m in _IMPORT_LINE.finditer(content)} if language in _QUOTED_IMPORTS else {}
-    starts = sorted(keep)
-
-    def cover(m):
-        if m.lastgroup == "quoted" and starts:
-            k = bisect_right(starts, m.start()) - 1
-            if k >= 0 and m.end() <= keep[starts[k]]:
-                return m[0]
-        return re.sub(r"[^\n]", " ", m[0])
-
-    if language == "rust":  # lifetimes are no quotes
-        content = re.sub(r"'(?=\w+\b(?!'))", " ", content)
-    return (_HASHES if language == "ruby" else _SLASHES).sub(cover, content)
-
-
-_HEAD = re.compile(r"\b(?P<interface>interface)\s+\w|\b(?:class|enum|record|struct|union)\b(?!\s*[>,])|\bnew\s+[\w.<>]+\s*\([^{}]*\)\s*$")
-
-
-def _bodies(text):
-    """(places, kind of body that holds from each of them on)."""
-    places, kinds, stack, begin = [0], [_TOP], [], 0
-    for m in re.finditer(r"[{};]", text):
-        if m[0] == "{":
-            head = _HEAD.search(text, begin, m.start())
-            code = head is None or text.rfind(")", head.end(), m.start()) > 0 and not text[head.start() :].startswith("new")
-            stack.append(_CODE if code else _INTERFACE if head["interface"] else _TYPE)
-        elif m[0] == "}" and stack:
-            stack.pop()
-        begin = m.end()
-        if m[0] != ";":
-            places.append(m.end())
-            kinds.append(stack[-1] if stack else _TOP)
-    return places, kinds
-
 
 def _python(content):
     """(offset as (line, byte column), name, context) of Python's declarations."""
@@ -189,48 +49,32 @@ def _python(content):
             yield *place(node.lineno, name, node.col_offset + 4), name, "import"
 
 
-def _patterns(content, language):
-    """(line, byte column, name, context) of declarations that the language's patterns find."""
-    text = _blank(content, language)
-    breaks = [0, *(m.end() for m in re.finditer("\n", text))]
-    seen = set()
-    rules = _rules(language)
-    places, kinds = _bodies(text) if any(r[3] for r in rules) else ([], [])
-    for context, outer, inner, bodies in rules:
-        at_group = "at" in (inner or outer).groupindex
-        for m in outer.finditer(text):
-            if inner is None:
-                spans = [(*m.span("n"), m.start("at") if at_group else m.start("n"))]
-            else:
-                a, b = m.span("args")
-                spans = [(a + x.start("n"), a + x.end("n"), a + x.start("at" if at_group else "n")) for x in inner.finditer(text[a:b])]
-            for a, b, at in spans:
-                if bodies and kinds[bisect_right(places, a) - 1] not in bodies:
-                    continue
-                if (a, context) not in seen:
-                    seen.add((a, context))
-                    name = content[a:b]
-                    at += len(name) - len(name.lstrip()) if at == a else 0
-                    line = bisect_right(breaks, at)
-                    yield line, len(content[breaks[line - 1] : at].encode()) + 1, name.strip(), context
+def python_declarations(files):
+    """(file, line, column, identifier, context, language) of a table (file, language, content) of Python files."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(file, *r, language) for file, language, content in zip(batch.file, batch.language, batch.content) for r in sorted(set(_python(content))) if len(r[2].encode()) > 1]
+            yield pd.DataFrame(rows, columns=["file", "line", "column", "identifier", "context", "language"])
+
+    return files.mapInPandas(run, "file string, line int, column int, identifier string, context string, language string")
 
 
 def contexts_of(content, language):
-    """Sorted (line, column, name, context) of one file; names of one byte are left out."""
-    found = _python(content) if language == "python" else _patterns(content, language)
-    return sorted({(line, column, name, context) for line, column, name, context in found if len(name.encode()) > 1})
+    """Sorted (line, column, name, context) of one text, by the session that runs or a new one; names of one byte are left out."""
+    spark = SparkSession.builder.getOrCreate()
+    files = spark.createDataFrame([("", language, content)], "file string, language string, content string")
+    found = (python_declarations if language == "python" else declarations)(files)
+    return sorted(map(tuple, found.select("line", "column", "identifier", "context").collect()))
 
 
 def classify(files, path_col: str = "path"):
-    """The occurrence table of syntax mode for the files of known languages."""
-    src = files.select(F.col(path_col).alias("file"), language_of(F.col("ext")).alias("language"), "content").filter("language IS NOT NULL")
-
-    def run(batches):
-        for batch in batches:
-            rows = [(file, *r, language) for file, language, content in zip(batch.file, batch.language, batch.content) for r in contexts_of(content, language)]
-            yield pd.DataFrame(rows, columns=["file", "line", "column", "identifier", "context", "language"])
+    """The occurrence table of syntax mode for the files of known languages.
 
-    found = src.mapInPandas(run, "file string, line int, column int, identifier string, context string, language string")
+    Rows of one path are one file; a null or empty text has no rows.
+    """
+    src = files.select(F.col(path_col).alias("file"), language_of(F.col("ext")).alias("language"), "content").filter("language IS NOT NULL AND content IS NOT NULL")
+    found = python_declarations(src.filter("language = 'python'")).unionByName(declarations(src.filter("language <> 'python'")))
     found = names.parse(found)
     return found.select("file", "line", "column", "identifier", "convention", "tags", "namespaces", "role", "shape", "context", "language")
 

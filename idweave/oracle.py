@@ -8,6 +8,7 @@ not follow a wrong one of the library; only the presets' table is the library's
 from __future__ import annotations
 
 from .plans import presets
+from .sources import samples
 
 # Fixed values.
 CONVENTIONS = ("snake_case", "camelCase", "PascalCase", "kebab-case", "UPPER_SNAKE_CASE", "Ada_Case")
@@ -251,6 +252,126 @@ _TEXT_SQL = (
     " UNION ALL SELECT 'part_' || p_partkey, 1, CAST(strlen(k) + 12 AS INT), 'red', NULL, NULL FROM m WHERE p_partkey % 15 = 4"
 )
 
+#: what syntax mode finds in the nested source files, by reading the grammars' node kinds: context -> line:column and name in the text with its marks
+NESTED = {
+    "rs": {
+        "constant": "5:111 INNER_MAX ; 5:144 COUNTER",
+        "field": "8:34 first_key ; 8:48 second_map ; 8:86 third_one",
+        "function": "3:60 name_of ; 5:12 Qs ; 12:4 Qs",
+        "import": "1:26 Write} ; 2:18 b as other",
+        "parameter": "3:34 scale_by ; 5:22 key_one ; 5:38 (px, py) ; 5:64 total_sum",
+        "type": "6:10 Item ; 8:19 QP ; 9:6 State",
+        "variable": "3:91 (left, right) ; 3:123 count_it ; 5:166 Some(found_it) ; 12:15 text_value",
+    },
+    "java": {
+        "constant": "17:52 LIMIT_ONE",
+        "field": "5:53 cacheMap ; 6:9 ab ; 7:11 arrayField ; 17:23 inner ; 18:42 shade",
+        "function": "8:34 Qc ; 12:52 run ; 16:5 Outer ; 17:87 doIt ; 18:53 shadeOf",
+        "import": "2:1 Entry",
+        "parameter": "8:58 mapper ; 8:76 restArgs ; 16:15 startSize ; 17:96 howMany ; 19:22 posX ; 19:32 posY",
+        "type": "4:14 Outer ; 17:11 QP ; 17:40 Deep ; 18:10 Color ; 19:12 Point",
+        "variable": "5:53 cacheMap ; 5:81 secondMap ; 6:9 ab ; 6:17 cd ; 7:11 arrayField ; 9:18 idx ; 9:60 innerText ; 12:18 rr ; 12:64 deepest ; 13:13 first ; 17:23 inner ; 17:52 LIMIT_ONE ; 17:67 LIMIT_TWO ; 18:42 shade",
+    },
+    "c": {
+        "field": "4:27 value_of ; 4:49 *next_node",
+        "function": "10:12 proto_call ; 11:6 pointer_fn ; 12:12 Qs",
+        "import": "1:1 my dir/file.h",
+        "parameter": "10:27 first_arg ; 10:43 *second_arg ; 10:63 third_arr[3] ; 12:27 *list_head ; 12:43 n_items",
+        "type": "4:16 node ; 4:44 node ; 4:63 node_t ; 5:23 byte_t ; 6:9 node_t ; 7:6 color_kind ; 12:22 node",
+        "variable": "9:5 global_count ; 11:6 pointer_fn ; 13:19 total_sum ; 14:23 list_head ; 15:9 grid ; 16:14 step_i ; 16:57 inner_val",
+    },
+    "cpp": {
+        "field": "9:32 table_of ; 10:22 kLimit ; 12:9 size_ ; 12:25 *raw_buf ; 14:24 px_",
+        "function": "5:5 QP ; 6:14 QP ; 16:18 Qs ; 17:17 resize",
+        "import": "1:1 map",
+        "parameter": "5:12 width_px ; 6:35 &label_text ; 16:44 &input_list ; 16:61 count_of ; 17:28 new_width",
+        "type": "14:8 Point3 ; 15:12 Mode",
+        "variable": "6:74 init_count ; 16:90 result_list ; 16:108 it_first ; 17:53 tmp_name",
+    },
+    "js": {
+        "function": "3:71 constructor ; 3:117 loadAll ; 3:187 total ; 4:23 Qc ; 6:15 method ; 7:15 run",
+        "import": "1:15 alpha ; 1:30 gamma",
+        "parameter": "3:83 first ; 3:125 page ; 4:26 name ; 5:18 event ; 6:22 arg ; 6:65 param ; 7:19 x1",
+        "type": "3:22 QP ; 7:7 Inner",
+        "variable": "3:149 { aa, bb } ; 3:168 [cc] ; 4:47 xx ; 4:55 yy ; 4:71 zz ; 4:84 ii ; 5:7 handler ; 5:39 inner ; 6:7 obj",
+    },
+    "ts": {
+        "function": "4:67 run ; 5:83 constructor ; 5:137 find ; 6:10 Qc",
+        "import": "1:15 TypeA ; 2:10 fnB ; 2:20 TypeC",
+        "parameter": "3:45 value ; 4:43 scale ; 5:103 store ; 5:124 size ; 5:145 key ; 5:153 ...rest ; 6:13 { left, right } ; 6:36 optional ; 7:29 input ; 7:44 done",
+        "type": "5:7 QP",
+        "variable": "5:195 found ; 7:14 arrow ; 7:84 out",
+    },
+    "go": {
+        "constant": "9:9 maxSize ; 9:22 minSize ; 10:7 single",
+        "function": "13:20 QP ; 20:6 Generic",
+        "import": "3:5 fmt ; 4:5 http ; 6:8 ioutil",
+        "parameter": "8:44 req ; 13:7 srv ; 13:23 ctx ; 13:44 aa ; 13:56 opts ; 13:73 result ; 13:85 err ; 17:13 job ; 20:21 value",
+        "type": "7:6 Server ; 8:21 Handler",
+        "variable": "11:5 globalOne ; 12:7 cacheMap ; 14:5 Qs ; 15:8 val ; 15:39 inner",
+    },
+    "rb": {
+        "constant": "5:5 MAX_SIZE",
+        "field": "9:8 cache ; 18:8 name",
+        "function": "8:14 Qs ; 13:9 plain ; 16:9 valid? ; 17:9 name=",
+        "import": "1:1 http ; 2:1 helper",
+        "parameter": "8:17 first_arg ; 8:28 second ; 8:47 key ; 8:55 needed ; 13:15 arg_one ; 13:24 opt ; 17:15 val",
+        "type": "3:8 Outer::Inner ; 4:9 QP",
+        "variable": "6:5 Other2 ; 9:16 other ; 11:26 total",
+    },
+    "php": {
+        "constant": "7:11 MAX_ONE ; 7:24 MAX_TWO",
+        "field": "8:20 shared ; 8:38 second ; 9:22 label",
+        "function": "10:21 __construct ; 11:33 doIt ; 14:10 Qc",
+        "import": "3:5 Model ; 3:21 Other as Alias ; 4:14 helper",
+        "parameter": "10:46 age ; 10:59 name ; 10:81 rest ; 11:43 howMany ; 14:15 ref ; 14:21 plain ; 14:47 inner ; 14:85 zz",
+        "type": "5:16 QP ; 13:7 Sharing",
+        "variable": "10:97 calls ; 10:109 more",
+    },
+    "cs": {
+        "field": "6:46 mapOf ; 7:19 Name ; 8:16 Size ; 15:30 PosX ; 18:53 Title",
+        "function": "10:12 QP ; 11:32 Qc ; 12:9 Local ; 12:23 Inner ; 18:27 DoIt",
+        "import": "1:1 System ; 2:1 Math ; 3:1 Generic",
+        "parameter": "10:19 startSize ; 11:40 keyOne ; 11:64 rest ; 12:33 deep ; 14:39 sender ; 16:24 FirstName ; 18:36 howMany",
+        "type": "5:16 QP ; 14:24 Handler ; 15:10 Vec ; 16:10 Person ; 17:8 Kind ; 18:13 IThing",
+        "variable": "6:46 mapOf ; 9:31 Changed ; 10:54 local ; 11:92 first ; 11:124 idx ; 15:30 PosX",
+    },
+    "swift": {
+        "constant": "4:9 maxSize ; 8:78 (aa, bb) ; 12:24 open ; 13:19 custom",
+        "function": "7:5 init ; 8:10 Qc ; 14:21 extra",
+        "import": "1:1 Foundation ; 2:1 UIView",
+        "parameter": "7:15 name ; 7:29 count ; 8:18 item ; 8:30 index ; 11:28 scale",
+        "type": "3:14 QP ; 11:10 Shape ; 12:6 State ; 14:11 QP ; 15:8 Pt",
+        "variable": "5:17 hidden ; 6:16 shared ; 7:51 inner ; 9:9 computed ; 15:17 px",
+    },
+    "kt": {
+        "constant": "6:9 MAX_ONE ; 14:34 RED ; 14:42 GREEN",
+        "function": "11:37 Qc ; 14:56 shade ; 15:23 area ; 18:5 topLevel",
+        "import": "2:1 List ; 4:1 max as bigger",
+        "parameter": "5:25 userName ; 5:55 age ; 5:69 extra ; 11:40 item ; 11:56 rest ; 14:22 rgb ; 14:62 by ; 15:28 scale ; 18:14 block ; 18:36 name",
+        "type": "5:18 QP ; 14:12 Color ; 15:11 Shape ; 16:8 Single ; 17:11 Names",
+        "variable": "7:17 HIDDEN_ONE ; 8:15 TOP_ONE ; 9:9 counter ; 11:82 local ; 12:28 inner",
+    },
+}
+
+
+def _nested_sql():
+    rows = []
+    for k, (ext, found) in enumerate(NESTED.items()):
+        lines = samples.NESTED[ext].split("\n")
+        for context, places in found.items():
+            for place in places.split(" ; "):
+                at, name = place.split(" ", 1)
+                line, column = map(int, at.split(":"))
+                head = lines[line - 1].encode()[: column - 1].decode()
+                rows.append(f"({k}, {line}, {column}, {head.count('Qs')}, {head.count('Qc')}, {head.count('QP')}, '{name}', '{context}', '{LANGUAGES[ext]}')")
+    name = "replace(replace(replace(name, 'Qs', s), 'Qc', c), 'QP', P)"
+    return (
+        f"WITH {_SOURCES}, e(which, line, col, ns, nc, np, name, context, language) AS (VALUES {', '.join(rows)}) SELECT 'nested_' || p_partkey AS file, line,"
+        f' CAST(col + ns * (s_len - 2) + nc * (c_len - 2) + np * (P_len - 2) AS INT) AS "column", {name} AS identifier, context, language FROM m JOIN e ON p_partkey % {len(NESTED)} = which'
+    )
+
+
 ORACLE_SQL = {
     "detect_convention": _key("convention"),
     "parse_tags": _key("array_to_string(tags, ' ') AS tags"),
@@ -314,6 +435,7 @@ UNION ALL SELECT file, 2, CAST(strlen(s) + 7 AS INT), 'value1' FROM t UNION ALL
     "source_prune": f"WITH {_PATHS} SELECT p_partkey, path FROM paths WHERE NOT regexp_matches(path, '(^|/)({'|'.join(SKIP_DIRS)}|[.][^/]+)/') AND {_EXT} IN {_in(SOURCE_EXTENSIONS)}",
     "detect_language": f"WITH {_PATHS} SELECT p_partkey, {_EXT} AS ext, CASE {_EXT} {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in LANGUAGES.items())} END AS language FROM paths",
     "classify_contexts": f'WITH {_SOURCES} SELECT file, line, "column", identifier, context, language FROM ({_SYNTAX_SQL})',
+    "classify_nested": _nested_sql(),
     "extract_with_context": f'WITH {_SOURCES} SELECT file, line, "column", identifier, context, {convention("identifier")} AS convention FROM ({_SYNTAX_SQL} UNION ALL {_TEXT_SQL})',
     "lint_sources": f'WITH {_SOURCES}, f AS ({_SYNTAX_SQL}), c AS (SELECT *, {convention("identifier")} AS convention FROM f), p AS (SELECT *, {tags("identifier", "convention")} AS tags FROM c), {_rules()}'
     f' SELECT file, line, "column", identifier, expected AS expected_convention, convention AS actual_convention, {joined("tags", "wanted")} AS suggested_fix FROM p JOIN r USING (context) WHERE convention <> wanted',

@@ -369,6 +369,11 @@ def classify_contexts(spark, sf_dir):
     return classify.classify(derived.source_files(spark, sf_dir)).select("file", "line", "column", "identifier", "context", "language")
 
 
+def classify_nested(spark, sf_dir):
+    """Contexts in files with nesting and several declarators."""
+    return classify.classify(derived.nested_files(spark, sf_dir)).select("file", "line", "column", "identifier", "context", "language")
+
+
 def extract_with_context(spark, sf_dir):
     return classify.extract_with_context(derived.source_files(spark, sf_dir), max_size=None).select("file", "line", "column", "identifier", "context", "convention")
 
@@ -420,7 +425,7 @@ def queries():
         sql_surface, equivalence_groups, extract_lines, extract_identifiers, extract_columns, extract_kebab, keyword_filter, identifier_counts,
         search_documents, search_ordered, search_sorted, search_many, search_many_ordered, graph_nodes, graph_edges, graph_dot_lines, graph_json_edges, graph_json_nodes, graph_subgraph_nodes, graph_subgraph_edges, graph_kebab_pages,
         lint_violations, lint_suggested_fix, lint_lines, lint_resolved_config, lint_generated_config, lint_nearest_config, lint_merged_config, merged_context_rules,
-        preset_violations, source_prune, detect_language, scan_tree, scan_guards, scan_filtered, stream_tree, sql_table_function, sql_renderings, classify_contexts, extract_with_context,
+        preset_violations, source_prune, detect_language, scan_tree, scan_guards, scan_filtered, stream_tree, sql_table_function, sql_renderings, classify_contexts, classify_nested, extract_with_context,
         lint_sources, extract_text_lines, parsed_json, stream_parse, stream_graph_edges, stream_windowed_tags, stream_late_tags,
     ]
     out = {f.__name__: f for f in own}

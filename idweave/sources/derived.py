@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .files import as_files, spread
+from .samples import NESTED
 
 
 def table(spark, sf_dir, name):
@@ -136,3 +137,14 @@ def source_files(spark, sf_dir):
         text = F.replace(text, F.lit("@" + mark), F.col(mark))
     part = part.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("path"), ext.alias("ext"), text.alias("content"))
     return part.select("path", "ext", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+def nested_files(spark, sf_dir):
+    """A source file for each part with nesting and several declarators, in one of twelve languages."""
+    part = table(spark, sf_dir, "part").withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE)})
+    kinds, texts = F.array(*map(F.lit, NESTED)), F.array(*map(F.lit, NESTED.values()))
+    at = (F.col("p_partkey") % len(NESTED)).cast("int") + 1
+    text = F.replace(F.element_at(texts, at), F.lit("Qs"), F.col("s"))
+    text = F.replace(F.replace(text, F.lit("Qc"), F.concat(F.lit("get"), "P")), F.lit("QP"), F.col("P"))
+    part = part.select(F.concat(F.lit("nested_"), F.col("p_partkey").cast("string")).alias("path"), F.element_at(kinds, at).alias("ext"), text.alias("content"))
+    return part.select("path", "ext", F.octet_length("content").cast("long").alias("size"), "content")

@@ -234,3 +234,30 @@ def test_prune_matches_the_walk(spark):
 def test_listed_extensions_agree(spark):
     df = spark.createDataFrame([("a/.bashrc",), ("a.b/c",), ("x.tar.gz",), ("p.PY",)], "path string").withColumn("e", files.ext_of(F.col("path")))
     assert [r.e for r in df.collect()] == [files.extension(p) for p in ("a/.bashrc", "a.b/c", "x.tar.gz", "p.PY")]
+
+
+@pytest.mark.parametrize("ext,piece", [("c", "// a comment of a header, {with} brackets; and words\n"), ("java", "word" * 16_384 + "\n"), ("js", "const a1 = [1, 2, 3], b2 = { c: 4 };\n"), ("rb", "# comment\nvalue = 1\n")])
+def test_scan_takes_time_in_proportion(spark, ext, piece):
+    import time
+
+    from idweave.operators import declarations
+
+    def took(size):
+        df = spark.createDataFrame([("f", files.LANGUAGES[ext], piece * (size // len(piece)))], "file string, language string, content string")
+        start = time.time()
+        n = declarations.declarations(df).count()
+        return time.time() - start, n
+
+    took(1 << 12)
+    small, n = took(1 << 18)
+    large, m = took(1 << 20)
+    assert large < 4 * 2 * max(small, 2.0) and (n == 0) == (m == 0)
+
+
+def test_scan_of_edges(spark):
+    df = spark.createDataFrame([("a.rs", "rs", 0, ""), ("b.c", "c", 0, None), ("c.js", "js", 1, "}}} let xx = 1; \"never closed"), ("d.go", "go", 1, "/* never closed func aa() {}"), ("e.kt", "kt", 1, "fun ü1() {}\nfun é2(日本: Int) {}")], files.SCHEMA)
+    found = {(r.file, r.line, r.column, r.identifier, r.context) for r in classify.classify(df).collect()}
+    assert found == {("c.js", 1, 9, "xx", "variable"), ("e.kt", 1, 5, "ü1", "function"), ("e.kt", 2, 5, "é2", "function"), ("e.kt", 2, 9, "日本", "parameter")}
+    plan = classify.classify(df.filter("ext <> 'py'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # Python files alone
+    assert classify.classify(df.limit(0)).count() == 0
