@@ -186,7 +186,9 @@ def build_listed_index(listed, rules=RULES, words=BLOCKED_WORDS):
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["digest", "kind", "lengths", "text"])
 
     ranges = keys.mapInArrow(digests, "key string, kind int, d long").orderBy("d", "key").mapInArrow(packed_ranges, "digest binary, kind binary, lengths binary, text binary").collect()
-    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in ranges), kind)
+    columns = {name: [r[name] for r in ranges] for name in ("digest", "kind", "lengths", "text")}
+    ranges.clear()  # each column is let go as soon as it is joined
+    joined = lambda name, kind: np.frombuffer(b"".join(columns.pop(name)), kind)
     return packed({
         "digest": joined("digest", np.uint64),
         "kind": joined("kind", np.int8),
