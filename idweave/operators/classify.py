@@ -41,12 +41,15 @@ def _python(content):
             for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
                 if isinstance(target, ast.Name):
                     yield target.lineno, target.col_offset + 1, target.id, "variable"
-        elif isinstance(node, ast.Import):
-            yield *place(node.lineno, node.names[0].name, node.col_offset + 6), node.names[0].name, "import"
-        elif isinstance(node, ast.ImportFrom):
-            name = "." * node.level + (node.module or "") if node.module else node.names[0].name
-            name = name.lstrip(".")
-            yield *place(node.lineno, name, node.col_offset + 4), name, "import"
+        elif isinstance(node, ast.ImportFrom) and not node.level:
+            if node.module != "__future__":  # a statement of its own kind
+                yield *place(node.lineno, node.module, node.col_offset + 4), node.module, "import"
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            # the first name that is not renamed; a relative module is no plain name
+            for a in node.names:
+                if a.asname is None and a.name != "*":
+                    yield a.lineno, a.col_offset + 1, a.name, "import"
+                    break
 
 
 def python_declarations(files):

@@ -64,6 +64,7 @@ _JAVA_MODS = r"(?:@~ <N>(?: <(>)? |(?:public|private|protected|static|final|vola
 _NO_TYPE = r"(?!(?:return|package|import|throw|new|else|case|assert|yield|class|interface|enum|record|goto|break|continue|if|while|for|switch|do|try|catch|finally|using|namespace|await|delegate|throws|super|this|typedef|delete|friend|template|default|public|private|protected|struct|foreach|lock|fixed|checked|unchecked)~)"
 _JAVA_FIELD = rf"^{_JAVA_MODS}{_NO_TYPE}{_T} (<N>)(?=(?: <[>)* [=;,]#)"
 _JAVA_MORE = r",~ (<N>)(?=(?: <[>)* [=;,]#)"
+_JAVA_PARAMETERS = {"head": r"(?<!(?:^| )(?:catch|try|if|while|switch|for|synchronized)#\S{1,40} )$", "tail": r"^(?:\{@|;#|throws~|->#|\[@)"}
 _CS_MODS = r"(?:<[> |(?:public|private|protected|internal|static|readonly|const|virtual|override|abstract|async|sealed|extern|partial|unsafe|volatile|new|event|required|ref)~ )*"
 _C_TYPE = r"(?:(?:const|volatile|static|extern|register|inline|virtual|mutable|explicit|constexpr|struct|enum|union|class|unsigned|signed)~ )*<N>(?: (?:::~ )?<N>| <~ [^;={}]*?>~)*?"
 _C_ACCESS = r"^(?:(?:public|private|protected)~ :~ )*"
@@ -85,7 +86,9 @@ RULES = {
         ("type", ANY, r"(?:^| )(?:struct|enum)~ (<N>)"), ("type", ANY, r"(?:^| )type~ (<N>)(?= [^;]*=#)"), ("constant", ANY, r"(?:^| )(?:const|static)~ (?:mut~ )?(?!fn~|mut~)(<N>) :#"),
         ("import", ANY, r"^(?:pub~ (?:<(> )?)?use~ (\S+) .*?(?<= )(;#\S+)", {"raw": True, "last": "::", "at": "stop", "not": r"[{*]"}),
         ("parameter", ("paren",), r"(?:^|,~ )(?:HASH~ <[> )?(?:mut~ )?(?!mut~|self~)([^\s#:]+#\S+)[^,:]*? (:#\S+)", {"head": r"(?:^| )fn~ <N>(?: <~ .*>~)? $", "raw": True}),
-        ("field", ("type",), r"(?:^|,~ |\]~ )(?:pub~ (?:<(> )?)?(<N>)(?= :#)", {"head": r"(?:^| )(?:struct|union)~ "}),
+        # typed parameters of closures: the first one behind the opening bar, the others behind the commas up to the closing one
+        ("parameter", (*ANY, "paren", "index"), r"(?:(?:^|(?:[=,<>!&*/+-]|=>|&&|\|\||[=!<>]=|move|return)~ )\|~ (?:[^|]*? ,~ )??|(?!^)\G[^|]*? ,~ )(?:HASH~ <[> )?(?:mut~ )?(?!mut~)([^\s#:|,]+#\S+)[^,:|]*? (?=(:#\S+)[^|]*\|~)", {"raw": True}),
+        ("field", ("type",), r"(?:^|,~ |\]~ )(?:pub~ (?:<(> )?)?(<N>)(?= :#)", {"head": r"(?:^| )(?:struct|union)~ "}), ("field", ("variant",), r"(?:^|,~ |\]~ )(?:pub~ (?:<(> )?)?(<N>)(?= :#)"),
     ],
     "javascript": [
         ("function", ANY, rf"{_EXPORT}(?:async~ )?function~ (<N>)(?= (?:<~ .*?>~ )?<(>.*\{{@)"),
@@ -118,7 +121,9 @@ RULES = {
         ("variable", CODE, _JAVA_FIELD), ("variable", (*BODY, "interface"), _JAVA_FIELD), ("variable", (*BODY, "interface"), _JAVA_MORE, {"whole": _JAVA_FIELD}), ("variable", ("paren",), _JAVA_FIELD, {"head": r"(?:^| )for~ $"}),
         ("field", BODY, _JAVA_FIELD), ("constant", ("interface",), _JAVA_FIELD),
         ("type", ANY, r"(?:^| )(?:class|interface|enum|record)~ (?!extends~|implements~)(<N>)(?= (?:[{(]@|<~|extends~|implements~|permits~))"), ("import", ANY, r"^import~ (?:static~ )?(?:<N> \.~ )*(<N>) ;#", {"at": "start"}),
-        ("parameter", ("paren",), rf"(?:^|,~ )(?:(?:final~|@~ <N>(?: <(>)?) )*{_NO_TYPE}{_T}(?: \.\.\.~)? (<N>)(?=(?: <[>)* [,$]#)", {"head": r"(?<!(?:^| )(?:catch|try|if|while|switch|for|synchronized)#\S{1,40} )$", "tail": r"^(?:\{@|;#|throws~|->#|\[@)"}),
+        ("parameter", ("paren",), rf"(?:^|,~ )(?:(?:final~|@~ <N>(?: <(>)?) )*{_NO_TYPE}{_T} (<N>)(?=(?: <[>)* [,$]#)", _JAVA_PARAMETERS),
+        # the name behind the dots is a declarator in the grammar
+        ("variable", ("paren",), rf"(?:^|,~ )(?:(?:final~|@~ <N>(?: <(>)?) )*{_NO_TYPE}{_T} \.\.\.~ (<N>)(?=(?: <[>)* [,$]#)", _JAVA_PARAMETERS),
     ],
     "ruby": [
         ("function", ANY, r"(?:^| )def~ (?:<N> \.~ )?(<N>)"), ("constant", ANY, r"(?:^|(?:=|then|do|else|and|or|if|unless|while|until|&&|\|\|)~ )([\p{Lu}_]++#\S+)(?= =#)", {"only": r"^\p{Lu}"}), ("variable", ANY, r"(?:^|(?:=|then|do|else|and|or|if|unless|while|until|&&|\|\|)~ )(?![\p{Lu}_]++#)(?!@)(<N>)(?= =#)"),
@@ -238,16 +243,21 @@ def statements(found):
 
 def placed(lines):
     """``statements`` with the kind of their block, its head and tail, and the statement before."""
-    each = lines.select("file", "s", F.explode(F.regexp_extract_all("s", F.lit(r"([(\[{]@\d+)#"), F.lit(1))).alias("o"))
+    each = lines.select("file", "language", F.col("block").alias("outer"), "s", F.explode(F.regexp_extract_all("s", F.lit(r"([(\[{]@\d+)#"), F.lit(1))).alias("o"))
     opener = F.expr("substring(o, 1, 1)")
     head = F.expr("substring(s, 1, position(concat(o, '#'), s) - 1)")
     tail = F.regexp_replace(F.expr("substring(s, position(concat(o, '#'), s))"), r"^\S+ (?:[)\]}]#\S+ ?)?", "")
-    heads = each.select("file", (F.substring_index("o", "@", -1).cast("int") + 1).alias("block"), opener.alias("opener"), head.alias("head"), tail.alias("tail"))
+    heads = each.select("file", "language", "outer", (F.substring_index("o", "@", -1).cast("int") + 1).alias("block"), opener.alias("opener"), head.alias("head"), tail.alias("tail"))
+    # a Rust enum's body holds variants with bodies of their own
+    rust = heads.filter("language = 'rust' AND opener = '{'")
+    enums = rust.filter(F.col("head").rlike(r"(?:^| )enum#")).select("file", F.col("block").alias("outer"))
+    variants = rust.filter(F.col("head").rlike(_pattern(r"(?:^|,~ |\]~ )<N> $"))).join(enums, ["file", "outer"]).select("file", "block", F.lit(True).alias("variant"))
+    heads = heads.select("file", "block", "opener", "head", "tail").join(variants, ["file", "block"], "left")
     rows = lines.join(heads, ["file", "block"], "left").withColumn("before", F.lag("s").over(Window.partitionBy("file", "block").orderBy("stmt")))
     head, word = F.col("head"), lambda w: F.col("head").rlike(rf"(?:^| )(?:{w})#")
     ended = head.rlike(r"\)#\S+ (?:(?:const|noexcept|override|final)#\S+ )*$")
     kind = (
-        F.when(F.col("opener").isNull(), "top").when(F.col("opener") == "(", "paren").when(F.col("opener") == "[", "index")
+        F.when(F.col("opener").isNull(), "top").when(F.col("variant"), "variant").when(F.col("opener") == "(", "paren").when(F.col("opener") == "[", "index")
         .when((F.col("language") == "java") & head.rlike(r"(?:^| )new#\S+ [^={}]*\)#\S+ $"), "type")
         .when(F.col("language").isin("c", "cpp") & (ended | ~word("struct|class|union|enum")), "code").when(F.col("language").isin("c", "cpp") & word("enum") , "enum")
         .when(F.col("language").isin("javascript", "typescript", "tsx") & ~word("class"), F.when(head.rlike(r"(?:\)#\S+ |=>#\S+ |(?:else|do|try|finally)#\S+ )$"), "code").when(head.rlike(r"[=(,:\[?]#\S+ $|return#\S+ $|^import#|^export#\S+ $"), "object").otherwise("code"))
@@ -299,6 +309,7 @@ def declarations(files):
     rows = lines.select("file", "language", F.explode(_every()).alias("d")).select("file", "language", "d.*")
     at, tok, stop = _part(F.col("at"), "at"), _part(F.col("tok"), "at"), _part(F.col("stop"), "at")
     rows = rows.select("file", "language", "context", F.element_at(at, 1).cast("int").alias("line"), F.element_at(at, 2).cast("int").alias("column"), "tok", "last", "bad", F.element_at(tok, 3).cast("int").alias("p0"), F.when(F.col("stop").isNotNull(), F.element_at(stop, 3).cast("int")).alias("p1"))
+    rows = stored(files.sparkSession, rows, "declared")  # read twice: plain names, and names of raw text
     plain = F.replace(F.regexp_replace("tok", r"#\S+", ""), F.lit(" :: "), F.lit("::"))  # one space parts the tokens here
     plain = F.replace(F.replace(plain, F.lit(" . "), F.lit(".")), F.lit("\u0001"), F.lit(" "))
     own = rows.filter("p1 IS NULL").withColumn("name", plain)
@@ -314,8 +325,9 @@ def declarations(files):
     name = F.when(F.col("name").rlike(r"^[\"'`]"), F.regexp_replace("name", r"^[\"'`]+|[\"'`]+$", "")).otherwise(F.col("name"))
     rows = rows.withColumn("n", name).withColumn("n", F.when(F.col("last").isNull(), F.col("n")).otherwise(F.element_at(F.split("n", F.concat(F.lit("\\Q"), "last", F.lit("\\E"))), -1)))
     rows = rows.filter(F.col("bad").isNull() | ~F.coalesce(F.rlike("n", "bad"), F.lit(False)))
-    # sigils of variables are no part of a name, which begins behind them
-    sigil = F.when(F.col("language").isin("php", "ruby"), F.char_length(F.regexp_extract("n", r"^[$@]*", 0))).otherwise(0)
-    rows = rows.withColumns({"column": F.col("column") + sigil, "n": F.substring("n", sigil + 1, F.char_length("n"))})
-    rows = rows.select("file", "line", "column", F.col("n").alias("identifier"), "context", "language")
-    return rows.filter(F.octet_length("identifier") > 1).dropDuplicates(["file", "line", "column", "identifier", "context"])
+    # a variable begins at its sigil, which is no part of its name; PHP's variables and fields are measured with it
+    bare = F.when(F.col("language").isin("php", "ruby"), F.regexp_replace("n", r"^[$@]+", "")).otherwise(F.col("n"))
+    measured = F.when((F.col("language") == "php") & F.col("context").isin("variable", "field"), F.col("n")).otherwise(bare)
+    rows = rows.filter((F.octet_length(measured) > 1) & (bare != ""))
+    rows = rows.select("file", "line", "column", bare.alias("identifier"), "context", "language")
+    return rows.dropDuplicates(["file", "line", "column", "identifier", "context"])

@@ -235,7 +235,7 @@ _SYNTAX = [
     (7, 1, 1, "P", "import", "java"), (7, 2, 7, "P", "type", "java"), (7, 3, 7, "c", "field", "java"), (7, 3, 7, "c", "variable", "java"), (7, 4, 8, "'run'", "function", "java"), (7, 4, 19, "'given'", "parameter", "java"),
     (7, 4, 32, "'total'", "variable", "java"),
     (8, 1, 1, "s", "import", "ruby"), (8, 2, 7, "P", "type", "ruby"), (8, 3, 7, "s", "function", "ruby"), (8, 3, "s_len + 8", "'count'", "parameter", "ruby"), (8, 4, 5, "'total'", "variable", "ruby"),
-    (9, 2, 5, "P", "import", "php"), (9, 3, 7, "P", "type", "php"), (9, 4, 12, "'size'", "field", "php"), (9, 5, 12, "c", "function", "php"), (9, 5, "c_len + 14", "'count'", "parameter", "php"),
+    (9, 2, 5, "P", "import", "php"), (9, 3, 7, "P", "type", "php"), (9, 4, 11, "'size'", "field", "php"), (9, 5, 12, "c", "function", "php"), (9, 5, "c_len + 13", "'count'", "parameter", "php"),
     (10, 1, 1, "P", "import", "csharp"), (10, 2, 7, "P", "type", "csharp"), (10, 3, 15, "c", "field", "csharp"), (10, 3, 15, "c", "variable", "csharp"), (10, 4, 8, "'Run'", "function", "csharp"), (10, 4, 19, "'given'", "parameter", "csharp"),
     (11, 1, 1, "P", "import", "swift"), (11, 2, 7, "P", "type", "swift"), (11, 3, 7, "c", "constant", "swift"), (11, 4, 8, "'run'", "function", "swift"), (11, 4, 12, "'total'", "parameter", "swift"),
     (12, 1, 1, "P", "import", "kotlin"), (12, 2, 7, "P", "type", "kotlin"), (12, 3, 7, "c", "variable", "kotlin"), (12, 4, 7, "'run'", "function", "kotlin"), (12, 4, 11, "'total'", "parameter", "kotlin"),
@@ -256,21 +256,21 @@ _TEXT_SQL = (
 NESTED = {
     "rs": {
         "constant": "5:111 INNER_MAX ; 5:144 COUNTER",
-        "field": "8:34 first_key ; 8:48 second_map ; 8:86 third_one",
-        "function": "3:60 name_of ; 5:12 Qs ; 12:4 Qs",
+        "field": "8:34 first_key ; 8:48 second_map ; 8:86 third_one ; 9:32 reason_code ; 14:34 pos_x ; 14:54 pos_y",
+        "function": "3:60 name_of ; 5:12 Qs ; 12:4 Qs ; 13:4 closures ; 15:4 builds",
         "import": "1:26 Write} ; 2:18 b as other",
-        "parameter": "3:34 scale_by ; 5:22 key_one ; 5:38 (px, py) ; 5:64 total_sum",
-        "type": "6:10 Item ; 8:19 QP ; 9:6 State",
-        "variable": "3:91 (left, right) ; 3:123 count_it ; 5:166 Some(found_it) ; 12:15 text_value",
+        "parameter": "3:34 scale_by ; 5:22 key_one ; 5:38 (px, py) ; 5:64 total_sum ; 13:45 acc_sum ; 13:59 (aa, bb) ; 13:115 one_item ; 13:141 three_of ; 15:11 bit_a",
+        "type": "6:10 Item ; 8:19 QP ; 9:6 State ; 14:6 Msg",
+        "variable": "3:91 (left, right) ; 3:123 count_it ; 5:166 Some(found_it) ; 12:15 text_value ; 13:21 add_up ; 13:99 keep_it ; 15:37 or_ed",
     },
     "java": {
         "constant": "17:52 LIMIT_ONE",
         "field": "5:53 cacheMap ; 6:9 ab ; 7:11 arrayField ; 17:23 inner ; 18:42 shade",
         "function": "8:34 Qc ; 12:52 run ; 16:5 Outer ; 17:87 doIt ; 18:53 shadeOf",
         "import": "2:1 Entry",
-        "parameter": "8:58 mapper ; 8:76 restArgs ; 16:15 startSize ; 17:96 howMany ; 19:22 posX ; 19:32 posY",
+        "parameter": "8:58 mapper ; 16:15 startSize ; 17:96 howMany ; 19:22 posX ; 19:32 posY",
         "type": "4:14 Outer ; 17:11 QP ; 17:40 Deep ; 18:10 Color ; 19:12 Point",
-        "variable": "5:53 cacheMap ; 5:81 secondMap ; 6:9 ab ; 6:17 cd ; 7:11 arrayField ; 9:18 idx ; 9:60 innerText ; 12:18 rr ; 12:64 deepest ; 13:13 first ; 17:23 inner ; 17:52 LIMIT_ONE ; 17:67 LIMIT_TWO ; 18:42 shade",
+        "variable": "8:76 restArgs ; 5:53 cacheMap ; 5:81 secondMap ; 6:9 ab ; 6:17 cd ; 7:11 arrayField ; 9:18 idx ; 9:60 innerText ; 12:18 rr ; 12:64 deepest ; 13:13 first ; 17:23 inner ; 17:52 LIMIT_ONE ; 17:67 LIMIT_TWO ; 18:42 shade",
     },
     "c": {
         "field": "4:27 value_of ; 4:49 *next_node",
@@ -312,7 +312,7 @@ NESTED = {
     },
     "rb": {
         "constant": "5:5 MAX_SIZE",
-        "field": "9:8 cache ; 18:8 name",
+        "field": "9:7 cache ; 18:7 name",
         "function": "8:14 Qs ; 13:9 plain ; 16:9 valid? ; 17:9 name=",
         "import": "1:1 http ; 2:1 helper",
         "parameter": "8:17 first_arg ; 8:28 second ; 8:47 key ; 8:55 needed ; 13:15 arg_one ; 13:24 opt ; 17:15 val",
@@ -321,12 +321,12 @@ NESTED = {
     },
     "php": {
         "constant": "7:11 MAX_ONE ; 7:24 MAX_TWO",
-        "field": "8:20 shared ; 8:38 second ; 9:22 label",
-        "function": "10:21 __construct ; 11:33 doIt ; 14:10 Qc",
+        "field": "8:19 shared ; 8:37 second ; 9:21 label ; 15:21 x",
+        "function": "10:21 __construct ; 11:33 doIt ; 14:10 Qc ; 15:34 one_of",
         "import": "3:5 Model ; 3:21 Other as Alias ; 4:14 helper",
-        "parameter": "10:46 age ; 10:59 name ; 10:81 rest ; 11:43 howMany ; 14:15 ref ; 14:21 plain ; 14:47 inner ; 14:85 zz",
-        "type": "5:16 QP ; 13:7 Sharing",
-        "variable": "10:97 calls ; 10:109 more",
+        "parameter": "10:45 age ; 10:58 name ; 10:80 rest ; 11:42 howMany ; 14:14 ref ; 14:20 plain ; 14:46 inner ; 14:84 zz ; 15:45 zed",
+        "type": "5:16 QP ; 13:7 Sharing ; 15:7 Tiny",
+        "variable": "10:96 calls ; 10:108 more ; 15:60 k",
     },
     "cs": {
         "field": "6:46 mapOf ; 7:19 Name ; 8:16 Size ; 15:30 PosX ; 18:53 Title",
@@ -352,6 +352,13 @@ NESTED = {
         "type": "5:18 QP ; 14:12 Color ; 15:11 Shape ; 16:8 Single ; 17:11 Names",
         "variable": "7:17 HIDDEN_ONE ; 8:15 TOP_ONE ; 9:9 counter ; 11:82 local ; 12:28 inner",
     },
+    "py": {
+        "function": "11:15 Qs ; 14:13 inner_fn",
+        "import": "2:24 sys.path ; 3:20 helper_one ; 4:34 sibling_mod ; 5:6 typing ; 6:6 mod_name",
+        "parameter": "11:24 first_arg ; 11:57 key_only ; 14:29 typed_one",
+        "type": "9:7 QP",
+        "variable": "10:5 attr_one ; 12:9 left_side ; 12:21 right_side",
+    },
 }
 
 

@@ -128,7 +128,7 @@ SOURCES = {
 
 def source_files(spark, sf_dir):
     """A small source file for each part, in one of fifteen languages."""
-    part = table(spark, sf_dir, "part").withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE), "k": F.expr("replace(p_name, ' ', '-')")})
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE), "k": F.expr("replace(p_name, ' ', '-')")})
     part = part.withColumn("c", F.concat(F.lit("get"), "P"))
     ext, text = F, F
     for key, (e, t) in SOURCES.items():
@@ -140,8 +140,8 @@ def source_files(spark, sf_dir):
 
 
 def nested_files(spark, sf_dir):
-    """A source file for each part with nesting and several declarators, in one of twelve languages."""
-    part = table(spark, sf_dir, "part").withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE)})
+    """A source file for each part with nesting and several declarators, in one of thirteen languages."""
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).withColumns({"P": F.expr(f"array_join({_CAPITAL}, '')"), "s": F.expr(_SNAKE)})
     kinds, texts = F.array(*map(F.lit, NESTED)), F.array(*map(F.lit, NESTED.values()))
     at = (F.col("p_partkey") % len(NESTED)).cast("int") + 1
     text = F.replace(F.element_at(texts, at), F.lit("Qs"), F.col("s"))

@@ -1,4 +1,4 @@
-"""Source files with nesting and several declarators, one in each language: ``Qs``, ``Qc`` and ``QP`` stand for a snake, camel and Pascal name."""
+"""Source files with nesting and several declarators, one for each language: ``Qs``, ``Qc`` and ``QP`` stand for a snake, camel and Pascal name."""
 
 #: extension -> text
 NESTED = {
@@ -14,6 +14,9 @@ enum State { OpenNow, Closed { reason_code: u8 } }
 // fn hidden_one() {}
 /* struct Gone { a: u8 } */
 fn Qs() { let text_value = "fn inside() { let zz = 1; }"; let c = '{'; }
+fn closures() { let add_up = items.fold(0, |acc_sum: u64, (aa, bb): &(u8, u8)| acc_sum | aa); let keep_it = move |one_item: Foo<A, B>, two, three_of: u8| one_item; }
+enum Msg { #[serde] Quit, Move { pos_x: i32, #[skip] pos_y: i32 }, Raw(u8) }
+fn builds(bit_a: u8) -> Point { let or_ed = bit_a | 2; match or_ed { 1 | 2 => Point { px: 1, py: bit_a | 4 }, _ => Point { px: 3, py: 4 } } }
 ''',
     "java": '''package a.b;
 import static java.util.Map.Entry;
@@ -154,6 +157,7 @@ abstract class QP extends Model implements Foo {
 }
 trait Sharing { }
 function Qc(&$ref, $plain) { $fn = function ($inner) use ($plain) { }; $arrow = fn($zz) => $zz; }
+class Tiny { public $x; function one_of($y, $zed) { static $k = 1; } }
 ''',
     "cs": '''using System;
 using static System.Math;
@@ -209,5 +213,21 @@ interface Shape { fun area(scale: Double): Double }
 object Single { }
 typealias Names = List<String>
 fun topLevel(block: (Int) -> Unit, name: String = "x") = 1
+''',
+    "py": '''from __future__ import annotations
+import os.path as osp, sys.path, json
+from .local import helper_one, other_two
+from .. import parent_mod as pm, sibling_mod
+from typing import List as Lst
+from mod_name import *
+from . import *
+import aliased_only as ao
+class QP(Base):
+    attr_one: int = 1
+    async def Qs(self, first_arg: int, *rest_args: str, key_only: bool = True, **opts: int):
+        left_side = right_side = 2
+        aa, bb = 1, 2
+        def inner_fn(plain, typed_one: "List[int]" = None): return plain
+        self.value = lambda xx: xx
 ''',
 }

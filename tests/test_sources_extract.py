@@ -135,7 +135,9 @@ def test_contexts(ext):
     place = lambda line, column: lines[line - 1].encode()[column - 1 :].decode()
     for line, column, name, context in found:
         if context != "import" or ext in ("py", "js", "ts", "tsx"):
-            assert place(line, column).startswith(name)
+            # a variable of Ruby or PHP begins at its sigil, which is no part of the name
+            sigil = "$" if ext == "php" and context in ("variable", "parameter", "field") else "@" if ext == "rb" and context == "field" else ""
+            assert place(line, column).startswith(sigil + name)
         elif ext == "rs":
             assert place(line, column).startswith(";")
         elif ext != "go" and ext != "php":
