@@ -263,3 +263,18 @@ def test_scan_of_edges(spark):
     plan = classify.classify(df.filter("ext <> 'py'"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1  # Python files alone
     assert classify.classify(df.limit(0)).count() == 0
+
+
+def test_texts_are_neither_broadcast_nor_joined_to_few_tasks(spark, monkeypatch):
+    """Contexts of files: texts and heads go by merge joins, in tasks of bounded bytes however small the table is on disk."""
+    from idweave.operators import declarations
+
+    monkeypatch.setattr(declarations, "TASK_BYTES", 100)
+    rows = [(f"f{k}", "rust", f"fn run_{k}((left, right): (u8, u8), own: u8) {{ let (aa_{k}, bb) = own; }}") for k in range(20)]
+    files = spark.createDataFrame(rows, "file string, language string, content string")
+    found = declarations.declarations(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    bound = max(spark.sparkContext.defaultParallelism, sum(len(r[2]) for r in rows) // 100 + 1)
+    assert f", {bound}), REPARTITION_BY_NUM" in plan
+    assert found.filter("context = 'variable'").count() == 20 and found.filter("context = 'parameter'").count() == 40
