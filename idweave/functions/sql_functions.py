@@ -44,7 +44,8 @@ def table_functions():
         "extract_hyphened_names": ("content STRING", columns, body.replace("@", _extracted(KEBAB))),
         "name_renderings": (
             "name STRING", "convention STRING, alias STRING",
-            f"SELECT o.c, {names.joined('o.t', 'o.c')} FROM (SELECT explode(transform(array({', '.join(map(names.text, names.CONVENTIONS))}), c -> named_struct('c', c, 't', {names.tags('name', '(' + names.convention('name') + ')')}))) AS o)",
+            # the tags are found once, not for each convention; no lambda, so Spark compiles it all
+            f"SELECT o.`0`, {names.joined('o.`1`', 'o.`0`')} FROM (SELECT explode(arrays_zip(array({', '.join(map(names.text, names.CONVENTIONS))}), array_repeat({names.tags('name', '(' + names.convention('name') + ')')}, {len(names.CONVENTIONS)}))) AS o)",
         ),
     }
 
