@@ -35,9 +35,13 @@ def search(identifiers, query: str, ordered: bool = False):
     With ``ordered`` the query's tags stand in the name in the query's order, others between
     them or not, and a tag that the query repeats is needed as often.
     """
-    test = holds_in_order if ordered else holds
-    hits = identifiers.filter(F.expr(test("tags", f"({query_tags(query)})")))
-    return hits.select("file", "line", "column", "identifier", "convention", "tags", "role", "shape")
+    test = F.expr((holds_in_order if ordered else holds)("tags", f"({query_tags(query)})"))
+    # a tag of ASCII letters stands in the name itself: names without one are not parsed
+    for tag in identifiers.sparkSession.sql(f"SELECT {query_tags(query)}").first()[0]:
+        if tag.isascii():
+            test = F.contains(F.lower("identifier"), F.lit(tag)) & test
+    hits = identifiers.filter(test)
+    return hits.select(*[c for c in ("file", "line", "column", "identifier", "convention", "tags", "role", "shape") if c in hits.columns])
 
 
 def ordered(hits):

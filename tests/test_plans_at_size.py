@@ -23,3 +23,18 @@ def test_renderings_find_tags_once(spark):
 
 def test_small_files_are_dealt_over_the_cores(spark):
     assert derived.names_table(spark, SF).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_search_parses_only_names_that_hold_the_letters(spark):
+    rows = spark.createDataFrame([("f", 1, "withValue"), ("f", 2, "Without"), ("f", 3, "a_WITH_b"), ("f", 4, None), ("f", 5, "with")], "file string, line int, identifier string")
+    found = search.search(names.parse(rows), "With")  # no column of places
+    assert sorted(r.line for r in found.collect()) == [1, 3, 5]
+    assert "contains(lower(identifier" in plan_of(found).lower()
+
+
+def test_search_in_documents_leaves_places_out(spark):
+    assert "octet_length(x" not in plan_of(queries.queries()["search_documents"](spark, SF))
+
+
+def test_sorted_hits_are_not_sorted_twice(spark):
+    assert "rangepartitioning" not in plan_of(queries.queries()["search_sorted"](spark, SF))
