@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources.stored import stored
 from .config import FILE_NAME, ConfigError, to_contexts
 
 #: Fields of a context that merge on their own.
@@ -99,7 +100,9 @@ def lint_tree(identifiers, configs, merged: bool = False):
     rules = (merged_rules if merged else nearest_rules)(fields).select("folder", "context", F.col("convention").alias("expected_convention"), F.expr(names.convention_of_spelling("convention")).alias("wanted"))
     rules = rules.filter("wanted IS NOT NULL")
     rows = identifiers.filter("context IS NOT NULL").withColumn("own", F.expr(folder_of("file")))
-    # folders with their rules are joined first; what meets the names has one row for each folder and context
+    # folders with their rules are joined first; what meets the names has one row for each folder and context.  Stored, its size
+    # is known: few folders are broadcast, and the names are not sorted in one task for each of their few keys
     by_folder = nearest_folder(rows, fields).join(rules, "folder").select("own", "context", "expected_convention", "wanted")
+    by_folder = stored(identifiers.sparkSession, by_folder, "folders")
     found = rows.join(by_folder, ["own", "context"]).filter(F.col("convention") != F.col("wanted"))
     return found.select("file", "line", "column", "identifier", "expected_convention", F.col("convention").alias("actual_convention"), F.expr(names.joined("tags", "wanted")).alias("suggested_fix"))

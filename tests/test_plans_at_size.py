@@ -38,3 +38,8 @@ def test_search_in_documents_leaves_places_out(spark):
 
 def test_sorted_hits_are_not_sorted_twice(spark):
     assert "rangepartitioning" not in plan_of(queries.queries()["search_sorted"](spark, SF))
+
+
+def test_few_folders_are_broadcast(spark):
+    plan = plan_of(queries.queries()["lint_nearest_config"](spark, SF))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
