@@ -14,12 +14,15 @@ def tag_nodes(identifiers):
     return identifiers.select(F.explode(F.expr("IF(size(tags) > 0, tags, NULL)")).alias("tag")).distinct()
 
 
-def tag_edges(identifiers):
-    """(src, dst, weight): occurrences of neighbouring tags; each repetition counts, loops are edges."""
+def tag_edges(identifiers, count_col: str | None = None):
+    """(src, dst, weight): occurrences of neighbouring tags; each repetition counts, loops are edges.
+
+    ``count_col`` says how often a row's name occurs; without it each row is one occurrence.
+    """
     # the size is tested inside the generator: a filter would be pushed below the parse and repeat it
     pairs = F.expr("IF(size(tags) < 2, NULL, transform(sequence(1, size(tags) - 1), i -> struct(tags[i - 1] AS src, tags[i] AS dst)))")
-    found = identifiers.select(F.explode(pairs).alias("e"))
-    return found.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    found = identifiers.select((F.lit(1) if count_col is None else F.col(count_col)).cast("long").alias("n"), F.explode(pairs).alias("e"))
+    return found.groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.sum("n").alias("weight"))
 
 
 def subgraph(nodes, edges, query: str):

@@ -43,3 +43,9 @@ def test_sorted_hits_are_not_sorted_twice(spark):
 def test_few_folders_are_broadcast(spark):
     plan = plan_of(queries.queries()["lint_nearest_config"](spark, SF))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_edges_of_counted_names(spark):
+    rows = spark.createDataFrame([("a_b",)] * 3 + [("aB",), ("a",)], "identifier string")
+    counted = rows.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, graph.tag_edges(names.parse(counted), "n").collect())) == sorted(map(tuple, graph.tag_edges(names.parse(rows)).collect())) == [("a", "b", 4)]
