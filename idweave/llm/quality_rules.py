@@ -1,10 +1,10 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word unigrams and bigrams are compared: one counted over all
-rows (the raw corpus), one over trusted rows (a bounded sample of rows labelled good).  A
+rows (the raw corpus), one over trusted rows (all rows labelled good).  A
 text's score is the mean log ratio of its n-grams, so that length does not matter; every
-document whose score is at least the threshold passes.  The threshold comes from the same
-bounded sample of labelled rows: the cut between good and bad rows with the best balanced accuracy,
+document whose score is at least the threshold passes.  The threshold comes from the scores of
+all labelled rows: the cut between good and bad rows with the best balanced accuracy,
 but never above the score that all but ``KEEP_LOST`` of the good rows reach.
 
 Defined results: a null or empty text has no words and fails the base rules.  Every row is
@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..sources.stored import stored
 from .common import WHITE, mapped, mix, packed, prefix_hashes, span_hashes, table, text_chunks, unpacked, words
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 14
-#: Labelled rows of either class that the trusted model and the threshold are fitted on, at most.
-SAMPLE = 4096
 #: Share of trusted rows that the threshold may lose.
 KEEP_LOST = 0.002
 #: Base rules.
@@ -85,33 +85,29 @@ def _base(data, offsets, parts):
     return n_words, chars, n_symbols, n_dup, count(row[covered])
 
 
-def corpus_counts(docs, trusted_ids, id_col="doc_id", text_col="text"):
-    """(raw, trusted) counts of each bucket over all rows; one pass, each task sends its sums.
-
-    ``trusted_ids`` is a sorted array of bounded size.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(trusted_ids, np.int64)))
+def bucket_counts(texts):
+    """Counts of each bucket over a table's first column; one pass, each task sends its sums."""
 
     def run(batches):
-        ids = shared.value
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            own = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            good = np.isin(own, ids) & np.asarray(batch.column(0).is_valid())
-            for i, data, offsets in text_chunks(batch.column(1)):
-                row, bucket, _ = _features(data, offsets)
-                sums[0] += np.bincount(bucket, minlength=BUCKETS)
-                sums[1] += np.bincount(bucket[good[i + row]], minlength=BUCKETS)
-        used = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bucket", "raw", "trusted"])
-
-    rows = docs.select(_key(docs, id_col), text_col).mapInArrow(run, "bucket long, raw long, trusted long")
-    found = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()  # at most BUCKETS rows
-    out = np.zeros((2, BUCKETS))
-    out[0, found.bucket], out[1, found.bucket] = found.raw, found.trusted
+            for _, data, offsets in text_chunks(batch.column(0)):
+                sums += np.bincount(_features(data, offsets)[1], minlength=BUCKETS)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["bucket", "n"])
+
+    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS)
+    out[found.bucket] = found.n
     return out
 
 
+def corpus_counts(docs, trusted_ids, id_col="doc_id", text_col="text"):
+    """(raw, trusted) counts of each bucket over all rows; ``trusted_ids`` are a few known ids."""
+    trusted = docs.filter(_key(docs, id_col).isin([int(i) for i in trusted_ids]))
+    return np.array([bucket_counts(docs.select(text_col)), bucket_counts(trusted.select(text_col))])
+
+
 def log_ratios(counts):
     """Smoothed log p_trusted / p_raw of each bucket; zeros without trusted counts."""
     raw, trusted = counts
@@ -138,23 +134,37 @@ def score_texts(texts, ratios):
     return out
 
 
-def pick_threshold(scores, good):
+def pick_threshold(scored):
     """The cut with the best balanced accuracy (lowest on ties) that loses KEEP_LOST of the good at most.
 
-    It lies half way to the next lower score of the sample.
+    ``scored`` is a table (s, good) of all labelled rows.  The cut lies half way to the next lower
+    score.  Scores are dealt by ranges; counts below each are running sums in its range and the sums of the
+    ranges before, of which the driver sees one row each.
     """
-    if not good.any():
+    spark = scored.sparkSession
+    each = scored.groupBy("s").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
+    each = stored(spark, each.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
+    ranges = each.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("s").alias("last")).orderBy("part").collect()
+    goods, bads = sum(r.g for r in ranges), sum(r.b for r in ranges)
+    if not goods:
         return -np.inf
-    most = np.quantile(scores[good], KEEP_LOST, method="lower")
-    if good.all():
+    offsets, g0, b0, last = [], 0, 0, None
+    for r in ranges:
+        offsets.append((r.part, g0, b0, last))
+        g0, b0, last = g0 + r.g, b0 + r.b, r.last
+    offsets = spark.createDataFrame(offsets, "part int, g0 long, b0 long, last double")
+    inside = Window.partitionBy("part").orderBy("s")
+    below = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = each.join(offsets, "part").select(
+        "s", "g", (F.col("g0") + F.coalesce(F.sum("g").over(below), F.lit(0))).alias("lost"), (F.col("b0") + F.coalesce(F.sum("b").over(below), F.lit(0))).alias("dropped"),
+        F.coalesce(F.lag("s").over(inside), "last").alias("lower"),
+    )
+    most = rows.filter(F.col("lost") + F.col("g") > int(KEEP_LOST * (goods - 1))).agg(F.min("s")).first()[0]
+    if not bads:
         return float(most)
-    cuts = np.unique(scores)
-    cuts = cuts[cuts <= most]
-    kept = 1 - np.searchsorted(np.sort(scores[good]), cuts, "left") / good.sum()
-    lost = np.searchsorted(np.sort(scores[~good]), cuts, "left") / (~good).sum()
-    best = cuts[np.argmax(np.round(kept + lost, 9))]
-    lower = scores[scores < best]
-    return float((best + lower.max()) / 2 if len(lower) else best)
+    right = F.round(1 - F.col("lost") / goods + F.col("dropped") / bads, 9)
+    best = rows.filter(F.col("s") <= F.lit(most)).agg(F.max_by(F.struct("s", "lower"), F.struct(right, -F.col("s"))).alias("x")).first().x
+    return float(best.s if best.lower is None else (best.s + best.lower) / 2)
 
 
 def _key(df, id_col):
@@ -165,32 +175,24 @@ def _key(df, id_col):
     return F.when(own.isNotNull(), F.xxhash64(own.cast("string")))
 
 
-def labelled_sample(labels, id_col="doc_id", label_col="quality", bound=SAMPLE):
-    """Ids with label 1 and with label 0, the ``bound`` least by hash of each."""
-    out = []
-    for label in (1, 0):
-        rows = labels.filter((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(_key(labels, id_col).alias("i")).distinct()
-        out.append([r.i for r in rows.orderBy(F.xxhash64("i"), "i").limit(bound).collect()])
-    return out
+def labelled(docs, labels, id_col="doc_id", text_col="text", label_col="quality"):
+    """(i, good, text) of all rows with a label; an id labelled both ways is good."""
+    marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    marks = marks.select(_key(labels, id_col).alias("i"), (F.col(label_col) == 1).alias("good")).groupBy("i").agg(F.max("good").alias("good"))
+    return docs.select(_key(docs, id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select("i", "good", "t")
 
 
 def fit(docs, labels, id_col="doc_id", text_col="text"):
     """The model as packed bytes: log ratios and the threshold."""
-    good, bad = labelled_sample(labels, id_col)
-    ratios = log_ratios(corpus_counts(docs, good, id_col, text_col))
-    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted({*good, *bad}), np.int64))
-    is_good = frozenset(good)
+    known = stored(docs.sparkSession, labelled(docs, labels, id_col, text_col), "labelled")  # read twice
+    ratios = log_ratios((bucket_counts(docs.select(text_col)), bucket_counts(known.filter("good").select("t"))))
 
     def run(batches):
         for batch in batches:
-            own = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(np.isin(own, wanted.value) & np.asarray(batch.column(0).is_valid())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), ratios))], names=["i", "s"])
-
-    found = docs.select(_key(docs, id_col).alias("i"), text_col).mapInArrow(run, "i long, s double")
-    found = found.groupBy("i").agg(F.min("s").alias("s")).toPandas()  # at most 2 * SAMPLE rows
-    cut = pick_threshold(found.s.to_numpy(), found.i.isin(is_good).to_numpy())
-    return packed({"ratios": ratios, "cut": np.array([cut])})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_texts(batch.column(2), ratios))], names=["i", "good", "s"])
+
+    scored = known.mapInArrow(run, "i long, good boolean, s double").groupBy("i").agg(F.max("good").alias("good"), F.min("s").alias("s"))
+    return packed({"ratios": ratios, "cut": np.array([pick_threshold(scored)])})
 
 
 def _judge(texts, model):

@@ -667,3 +667,20 @@ def test_ids_of_any_type(spark, make):
         column = "kept" if module is quality_rules else "predicted"
         good = rows.join(named(labels).select("doc_id", "quality"), "doc_id").select(F.avg((F.col(column).cast("int") == F.col("quality")).cast("int"))).first()[0]
         assert rows.count() == docs.count() and good > 0.9
+
+
+def test_thresholds_come_from_all_scores(spark):
+    """The cut over ranges equals the one over the whole array, and no number of labelled rows bounds it."""
+    r = np.random.default_rng(5)
+    for n, bad in ((3, 0), (12_000, 7_000)):
+        scores, good = np.round(r.normal(size=n), 3), np.arange(n) >= bad
+        scores[~good] -= 1
+        most = np.quantile(scores[good], quality_rules.KEEP_LOST, method="lower")
+        cuts = np.unique(scores)
+        cuts = cuts[cuts <= most]
+        best = cuts[np.argmax([np.round((scores[good] >= c).mean() + (scores[~good] < c).mean(), 9) for c in cuts])] if bad else most
+        lower = scores[scores < best]
+        wanted = (best + lower.max()) / 2 if bad and len(lower) else best
+        scored = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "s double, good boolean")
+        assert quality_rules.pick_threshold(scored) == wanted
+    assert not hasattr(quality_rules, "SAMPLE")
