@@ -5,7 +5,9 @@ rows (the raw corpus), one over trusted rows (all rows labelled good).  A
 text's score is the mean log ratio of its n-grams, so that length does not matter; every
 document whose score is at least the threshold passes.  The threshold comes from the scores of
 all labelled rows: the cut between good and bad rows with the best balanced accuracy,
-but never above the score that all but ``KEEP_LOST`` of the good rows reach.
+but never above the score that all but ``KEEP_LOST`` of the good rows reach.  Labels are joined to
+each text's n-grams (sorted buckets, about one byte each), not to the text, and by a merge join at any size,
+so that what is shuffled and stored is in proportion to the input and a small part of it.
 
 Defined results: a null or empty text has no words and fails the base rules.  Every row is
 judged by itself, so repeated rows repeat with equal results and an empty table gives none.
@@ -37,6 +39,11 @@ _NEWLINE = 10
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+#: Ratios are whole multiples of this, so that their sums do not depend on the order of a text's n-grams.
+UNIT = 2.0**-32
+#: Byte of packed n-grams that adds to the next one.
+_MORE = 255
+
 
 def _features(data, offsets):
     """(row, bucket) of every hashed unigram and bigram, with what the rules also need."""
@@ -85,18 +92,52 @@ def _base(data, offsets, parts):
     return n_words, chars, n_symbols, n_dup, count(row[covered])
 
 
-def bucket_counts(texts):
-    """Counts of each bucket over a table's first column; one pass, each task sends its sums."""
+def pack_grams(row, bucket, n):
+    """A binary column of ``n`` rows: each row's sorted buckets as steps from one to the next."""
+    key = np.sort(row * BUCKETS + bucket)
+    row, bucket = key // BUCKETS, key % BUCKETS
+    step = bucket.copy()
+    step[1:] -= np.where(row[1:] == row[:-1], bucket[:-1], 0)
+    size = step // _MORE + 1
+    ends = np.cumsum(size)
+    data = np.full(int(ends[-1]) if len(ends) else 0, _MORE, np.uint8)
+    data[ends - 1] = step % _MORE
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=n))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _grams(data, offsets):
+    """(row, bucket) of packed n-grams."""
+    ends = np.flatnonzero(data != _MORE)
+    row = np.searchsorted(offsets, ends, "right") - 1
+    total = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    return row, total[ends + 1] - total[offsets[row]]
+
+
+def grams(docs, id_col="doc_id", text_col="text"):
+    """(i, g) of every row: its key and its packed n-grams."""
+
+    def run(batches):
+        for batch in batches:
+            for i, data, offsets in text_chunks(batch.column(1)):
+                n = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pack_grams(*_features(data, offsets)[:2], n)], names=["i", "g"])
+
+    return docs.select(_key(docs, id_col).alias("i"), text_col).mapInArrow(run, "i long, g binary")
+
+
+def bucket_counts(rows, read=_features):
+    """Counts of each bucket over a table's first column, texts or what else ``read`` takes; one pass, each task sends its sums."""
 
     def run(batches):
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, data, offsets in text_chunks(batch.column(0)):
-                sums += np.bincount(_features(data, offsets)[1], minlength=BUCKETS)
+                sums += np.bincount(read(data, offsets)[1], minlength=BUCKETS)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    found = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     out = np.zeros(BUCKETS)
     out[found.bucket] = found.n
     return out
@@ -116,7 +157,7 @@ def log_ratios(counts):
     # the trusted model backs off to the raw one with the weight of one count a bucket on average
     p = (raw + 1) / (raw.sum() + BUCKETS)
     q = (trusted + BUCKETS * p) / (trusted.sum() + BUCKETS)
-    return np.log(q / p)
+    return np.round(np.log(q / p) / UNIT) * UNIT
 
 
 def _scores(table_, row, bucket, n):
@@ -125,12 +166,11 @@ def _scores(table_, row, bucket, n):
     return np.bincount(row, weights=table_[bucket], minlength=n) / np.maximum(times, 1)
 
 
-def score_texts(texts, ratios):
-    """Scores of an Arrow string column."""
-    out = np.zeros(len(texts))
-    for i, data, offsets in text_chunks(texts):
-        row, bucket, _ = _features(data, offsets)
-        out[i : i + len(offsets) - 1] = _scores(ratios, row, bucket, len(offsets) - 1)
+def score_grams(packed_grams, ratios):
+    """Scores of an Arrow column of packed n-grams; those of the texts."""
+    out = np.zeros(len(packed_grams))
+    for i, data, offsets in text_chunks(packed_grams):
+        out[i : i + len(offsets) - 1] = _scores(ratios, *_grams(data, offsets), len(offsets) - 1)
     return out
 
 
@@ -176,20 +216,21 @@ def _key(df, id_col):
 
 
 def labelled(docs, labels, id_col="doc_id", text_col="text", label_col="quality"):
-    """(i, good, text) of all rows with a label; an id labelled both ways is good."""
+    """(i, good, g) of all rows with a label; an id labelled both ways is good."""
     marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marks = marks.select(_key(labels, id_col).alias("i"), (F.col(label_col) == 1).alias("good")).groupBy("i").agg(F.max("good").alias("good"))
-    return docs.select(_key(docs, id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select("i", "good", "t")
+    # without the hint few labels are broadcast and many are not: growth would jump where the plan changes
+    return grams(docs, id_col, text_col).filter("i IS NOT NULL").join(marks.hint("merge"), "i").select("i", "good", "g")
 
 
 def fit(docs, labels, id_col="doc_id", text_col="text"):
     """The model as packed bytes: log ratios and the threshold."""
     known = stored(docs.sparkSession, labelled(docs, labels, id_col, text_col), "labelled")  # read twice
-    ratios = log_ratios((bucket_counts(docs.select(text_col)), bucket_counts(known.filter("good").select("t"))))
+    ratios = log_ratios((bucket_counts(docs.select(text_col)), bucket_counts(known.filter("good").select("g"), _grams)))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_texts(batch.column(2), ratios))], names=["i", "good", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_grams(batch.column(2), ratios))], names=["i", "good", "s"])
 
     scored = known.mapInArrow(run, "i long, good boolean, s double").groupBy("i").agg(F.max("good").alias("good"), F.min("s").alias("s"))
     return packed({"ratios": ratios, "cut": np.array([pick_threshold(scored)])})

@@ -684,3 +684,20 @@ def test_thresholds_come_from_all_scores(spark):
         scored = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "s double, good boolean")
         assert quality_rules.pick_threshold(scored) == wanted
     assert not hasattr(quality_rules, "SAMPLE")
+
+
+def test_labels_are_joined_to_packed_grams(spark, make, edges):
+    """Packed n-grams give the scores of their texts to the last bit; texts are not shuffled, and the plan does not change with size."""
+    texts, ratios = pa.array(edges), quality_rules.log_ratios(np.random.default_rng(3).integers(1, 99, (2, quality_rules.BUCKETS)))
+    data, offsets, _ = common.utf8_view(texts)
+    row, bucket, _ = quality_rules._features(data, offsets)
+    column = quality_rules.pack_grams(row, bucket, len(edges))
+    assert sorted(zip(*quality_rules._grams(*common.utf8_view(column)[:2]))) == sorted(zip(row, bucket))
+    assert quality_rules.score_grams(column, ratios).tolist() == quality_rules._judge(texts, {"ratios": ratios, "cut": [0.0]})[3].tolist()
+    assert column.nbytes < 0.5 * len(data)
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, len(edges), 2)] + [(2, 1), (None, 1)], "doc_id long, quality int")
+    known = quality_rules.labelled(make(edges, ids=[None, *range(1, len(edges))]), labels)
+    assert sorted((r.i, r.good) for r in known.collect()) == [(k, k == 2) for k in range(2, len(edges), 2)]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
