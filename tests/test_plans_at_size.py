@@ -1,12 +1,14 @@
 """Plans of queries that were slow on large tables."""
 
 import os
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from idweave import queries
 from idweave.functions import names
-from idweave.operators import graph, search
+from idweave.operators import extract, graph, search
 from idweave.sources import derived
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -49,3 +51,23 @@ def test_edges_of_counted_names(spark):
     rows = spark.createDataFrame([("a_b",)] * 3 + [("aB",), ("a",)], "identifier string")
     counted = rows.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, graph.tag_edges(names.parse(counted), "n").collect())) == sorted(map(tuple, graph.tag_edges(names.parse(rows)).collect())) == [("a", "b", 4)]
+
+
+def test_places_in_parts_of_long_lines(spark, monkeypatch):
+    """Places equal those counted by hand whatever the sizes of parts, and no lambda makes a value for each name."""
+    plan = plan_of(queries.queries()["extract_columns"](spark, SF))
+    assert "lambdafunction(named_struct(identifier" not in plan and "posexplode(split(" in plan
+    r = random.Random(4)
+    pieces = ["getUser", "a_b", "x", "$v", "my-name", "the-box-", "é", "日本", "éa", "7", "7up", " ", "  ", ".", "-", "\u0001", "\u0002", "\U0001f600"]
+    texts = ["".join(r.choice(pieces) + r.choice([" ", "", "; "]) for _ in range(n)) for n in (0, 1, 2, 9, 40, 41, 600)] + ["no_name" * 100, "é " * 400, "\u0001" * 600, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    for kebab, hyphen in ((None, ""), (F.lit(True), "-")):
+        wanted = [
+            (n, m.group(), len(t[: m.start()].encode()) + 1) for n, t in enumerate(texts) for m in re.finditer(rf"\b[a-zA-Z_$][a-zA-Z0-9_${hyphen}]*\b", t or "")
+        ]
+        for short, block, group in ((extract.SHORT, extract.BLOCK, extract.GROUP), (0, 1, 1), (20, 2, 3), (0, 40, 2)):
+            for name, value in (("SHORT", short), ("BLOCK", block), ("GROUP", group)):
+                monkeypatch.setattr(extract, name, value)
+            found = extract.occurrences(rows, kebab)
+            assert sorted((x.n, x.identifier, x.column) for x in found.collect()) == sorted(wanted)
+            monkeypatch.undo()
