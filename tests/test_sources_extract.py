@@ -278,3 +278,19 @@ def test_texts_are_neither_broadcast_nor_joined_to_few_tasks(spark, monkeypatch)
     bound = max(spark.sparkContext.defaultParallelism, sum(len(r[2]) for r in rows) // 100 + 1)
     assert f", {bound}), REPARTITION_BY_NUM" in plan
     assert found.filter("context = 'variable'").count() == 20 and found.filter("context = 'parameter'").count() == 40
+
+
+def test_equal_texts_are_classified_once(spark, monkeypatch):
+    """Copies of a text cost one scan and each has all its rows, whatever their paths; languages stay apart."""
+    seen = []
+    for name in ("declarations", "python_declarations"):
+        run = getattr(classify, name)
+        monkeypatch.setattr(classify, name, lambda texts, run=run: seen.append(texts.count()) or run(texts))
+    rust, python, c = SAMPLES["rs"][0], SAMPLES["py"][0], SAMPLES["c"][0]
+    rows = [(f"a{k}.rs", "rs", 1, rust) for k in range(40)] + [(f"b{k}.py", "py", 1, python) for k in range(30)] + [("c.c", "c", 1, c), ("c.cpp", "cpp", 1, c)]
+    rows += [("twice.rs", "rs", 1, rust)] * 2 + [(None, "rs", 1, rust), ("d.rs", "rs", 1, rust + "fn more() {}"), ("none.rs", "rs", 0, None), ("empty.py", "py", 0, "")]
+    found = classify.classify(spark.createDataFrame(rows, files.SCHEMA)).collect()
+    assert sorted(seen) == [1, 4]  # Python; Rust's two, C and C++
+    places = {(ext, content): classify.contexts_of(content, files.LANGUAGES[ext]) for ext, content in {(r[1], r[3]) for r in rows if r[3]}}
+    wanted = [(path, files.LANGUAGES[ext], *place) for path, ext, _, content in rows if content for place in places[ext, content]]
+    assert sorted(map(str, wanted)) == sorted(str((r.file, r.language, r.line, r.column, r.identifier, r.context)) for r in found)
