@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from idweave import queries
 from idweave.functions import names
-from idweave.operators import extract, graph, search
+from idweave.operators import declarations, extract, graph, search
 from idweave.sources import derived
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -71,3 +71,23 @@ def test_places_in_parts_of_long_lines(spark, monkeypatch):
             found = extract.occurrences(rows, kebab)
             assert sorted((x.n, x.identifier, x.column) for x in found.collect()) == sorted(wanted)
             monkeypatch.undo()
+
+
+def test_no_step_of_declarations_is_interpreted(spark, monkeypatch):
+    """HotSpot compiles no method of more than 8,000 bytes of bytecode: such a step takes several times as long."""
+    generator = getattr(getattr(spark._jvm.org.apache.spark.sql.catalyst.expressions.codegen, "CodeGenerator$"), "MODULE$")
+
+    def sizes(plan):
+        own = [generator.compile(plan.doCodeGen()._2())._2().maxMethodCodeSize()] if plan.getClass().getSimpleName() == "WholeStageCodegenExec" else []
+        return own + [n for k in range(plan.children().size()) for n in sizes(plan.children().apply(k))]
+
+    found = []
+    stored = declarations.stored
+    check = lambda df: found.extend(sizes(df._jdf.queryExecution().executedPlan()))
+    monkeypatch.setattr(declarations, "stored", lambda session, df, name: check(df) or stored(session, df, name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        check(declarations.declarations(spark.createDataFrame([("a", "rust", "fn aa(bb: u8) { let (cc, dd) = bb; }")], "file string, language string, content string")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(found) > 5 and max(found) < 8000
